@@ -68,10 +68,12 @@ def leads_declaration(line: Column) -> Column:
     return marks
 
 
-def range_marks(units: Column) -> Column:
-    """Per unit: the label of the code range that starts there, or null."""
-    symbols = F.transform(units, lambda u: declaration_symbol(u["text"]))
-    leads = F.transform(units, lambda u: leads_declaration(u["text"]))
+def with_range_marks(sections: DataFrame) -> DataFrame:
+    """Adds ``marks``: per unit, the label of the code range that starts there, or null.
+
+    Symbols and leading lines are columns of their own, so each line is matched once.
+    """
+    symbols, leads = F.col("symbols"), F.col("leads")
 
     def lines_above(i: Column) -> Column:
         # How many of the up to four lines right above belong to the declaration at i.
@@ -81,17 +83,23 @@ def range_marks(units: Column) -> Column:
             count = count + unbroken.cast("int")
         return count
 
-    def mark(i: Column) -> Column:
-        here = [F.when(lines_above(i + d) == d, F.get(symbols, i + d))
-                for d in range(fixed.MAX_LEADING_LINES + 1)]
-        return F.coalesce(*here)
-
-    marks = F.transform(units, lambda _, i: mark(i))
-    declared = F.exists(symbols, lambda s: s.isNotNull())
-    return F.when(declared, F.transform(marks, lambda m, i: F.concat(
-        F.lit(fixed.SYMBOL_PREFIX),
-        F.coalesce(m, F.when(i == 0, F.lit(fixed.FILE_HEAD_SYMBOL)))))).otherwise(
-        F.transform(marks, lambda m: F.lit(None).cast("string")))
+    def starts_here(i: Column) -> Column:
+        return F.coalesce(*[F.when(F.get(F.col("above"), i + d) == d, F.get(symbols, i + d))
+                            for d in range(fixed.MAX_LEADING_LINES + 1)])
+
+    first_mark = F.lit(fixed.FILE_HEAD_SYMBOL)
+    return (sections
+            .withColumn("symbols", F.transform("units", lambda u: declaration_symbol(u["text"])))
+            .withColumn("leads", F.transform("units", lambda u: leads_declaration(u["text"])))
+            .withColumn("above", F.transform("symbols", lambda s, i: F.when(
+                s.isNotNull(), lines_above(i))))
+            .withColumn("marks", F.when(
+                F.exists("symbols", lambda s: s.isNotNull()),
+                F.transform("units", lambda _, i: F.concat(
+                    F.lit(fixed.SYMBOL_PREFIX),
+                    F.coalesce(starts_here(i), F.when(i == 0, first_mark)))))
+                .otherwise(F.transform("units", lambda _: F.lit(None).cast("string"))))
+            .drop("symbols", "leads", "above"))
 
 
 def _empty_state() -> Column:
@@ -196,7 +204,7 @@ def _built_chunks(sections: DataFrame, rules: ChunkRules) -> DataFrame:
         filled = F.filter(F.slice(items, cut["first"] + 1, cut["last"] - cut["first"]),
                           lambda item: ~item["blank"])
         first = F.get(filled, F.lit(0))["i"]
-        last = F.element_at(filled, -1)["i"]
+        last = F.try_element_at(filled, F.lit(-1))["i"]
         content = tx.strip(F.array_join(F.transform(
             F.slice(units, first + 1, last - first + 1), lambda u: u["text"]), "\n"))
         return F.struct(
@@ -235,7 +243,7 @@ def prose_chunks(sections: DataFrame, rules: ChunkRules = ChunkRules()) -> DataF
 
 
 def code_chunks(sections: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFrame:
-    marked = sections.withColumn("marks", range_marks(F.col("units")))
+    marked = with_range_marks(sections)
     prepared = _with_tokens(marked.withColumn("items", _items(F.col("units"), F.col("marks"))))
     cut = prepared.withColumn("cuts", code_cuts(F.col("items"), F.col("unit_tokens"), rules))
     return _built_chunks(cut, rules)

@@ -22,14 +22,15 @@ def with_terms(texts: DataFrame, text: str, query: bool = False) -> DataFrame:
     """
     weights = QUERY_WEIGHTS if query else DOCUMENT_WEIGHTS
     return (texts
-            .withColumn("__norm", tx.normalize_text(tx.split_camel(F.col(text))))
+            .withColumn("__split", tx.split_camel(F.col(text)))
+            .withColumn("__norm", tx.normalize_text(F.col("__split")))
             .withColumn("__compact", F.regexp_replace("__norm", r"\s+", ""))
             .withColumn("__runs", F.regexp_extract_all("__norm", F.lit(r"[\p{IsHan}]+"), 0))
             .withColumn("terms", F.concat(
                 tx.latin_terms(F.col("__norm"), weights),
                 tx.han_terms(F.col("__runs"), weights),
                 tx.concept_terms(F.col("__compact"), weights)))
-            .drop("__norm", "__compact", "__runs"))
+            .drop("__split", "__norm", "__compact", "__runs"))
 
 
 def weighted_postings(texts: DataFrame, key: str, text: str, query: bool = False) -> DataFrame:
@@ -40,8 +41,9 @@ def weighted_postings(texts: DataFrame, key: str, text: str, query: bool = False
     further exchange.
     """
     terms = (with_terms(texts.repartition(key).select(key, text), text, query)
-             .select(key, F.greatest(F.lit(1.0), tx.sum_of_weights(F.col("terms")))
-                     .alias("doc_length"), F.inline_outer("terms"))
+             .withColumn("doc_length",
+                         F.greatest(F.lit(1.0), tx.sum_of_weights(F.col("terms"))))
+             .select(key, "doc_length", F.inline_outer("terms"))
              .where(F.col("term").isNotNull()))
     return terms.groupBy(key, "term").agg(F.sum("weight").alias("weight"),
                                           F.first("doc_length").alias("doc_length"))

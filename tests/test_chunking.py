@@ -62,7 +62,7 @@ def test_oversized_unit_and_small_units_give_two_chunks(spark):
 
 def test_code_symbols(spark):
     text = ("import os\nimport sys\n\n# Loads all rows of a table.\ndef load_rows(path):\n"
-            "    return open(path).read()\n\n@cached\ndef other_name(x):\n    return x + 12345\n")
+            "    path + 1\n\n@cached\ndef other_name(x):\n    return x + 12345\n")
     got = {r.source_location for r in chunking.chunk_sections(
         _sections(spark, [("a.py", "py", text)])).collect()}
     assert got == {"符号：文件头 · L1-2", "符号：load_rows · L4-6", "符号：other_name · L8-10"}

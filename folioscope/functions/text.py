@@ -113,15 +113,14 @@ def concepts_in(compact: Column) -> Column:
     A phrase counts when it occurs as written, or with all blanks removed on both sides. The
     second form includes the first, so one look at the blank-free text decides both.
     """
-    def signalled(phrases: tuple[str, ...]) -> Column:
-        hit = F.lit(False)
-        for phrase in phrases:
-            hit = hit | F.contains(compact, F.lit(phrase.replace(" ", "")))
-        return hit
-
-    marks = F.array(*[F.when(signalled(phrases), F.lit(f"concept:{name}"))
-                      for name, phrases in fixed.CONCEPTS.items()])
-    return F.filter(marks, lambda name: name.isNotNull())
+    lexicon = F.array(*[
+        F.struct(F.lit(f"concept:{name}").alias("name"),
+                 F.split(F.lit("|".join(p.replace(" ", "") for p in phrases)), r"\|")
+                 .alias("phrases"))
+        for name, phrases in fixed.CONCEPTS.items()])
+    touched = F.filter(lexicon, lambda c: F.exists(
+        c["phrases"], lambda phrase: F.contains(compact, phrase)))
+    return F.transform(touched, lambda c: c["name"])
 
 
 def _weighted(terms: Column, weight: float) -> Column:

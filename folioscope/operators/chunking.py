@@ -131,21 +131,31 @@ def _walk_back(tokens: Column, i: Column, target: int) -> Column:
     return _walk(F.reverse(F.slice(tokens, first + 1, i - first + 1)), target)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prose_cuts(items: Column, tokens: Column, rules: ChunkRules) -> Column:
     """Cuts at a blank unit once the minimum is reached, or anywhere once the target is; after a
     cut at the target the next chunk starts some units earlier."""
     def step(state: Column, item: Column) -> Column:
         i, total = item["i"], state["tokens"] + item["tokens"]
-        back = _walk_back(tokens, i, rules.prose_overlap)
-        earlier = i + 1 - back["n"]
-        overlaps = (back["sum"] >= rules.prose_overlap) & (earlier > state["start"])
-        grown = F.concat(state["cuts"], _cut(state["start"], i + 1, F.lit("")))
-        return (F.when((total >= rules.prose_target) & overlaps,
-                       _state(earlier, back["sum"], F.lit(""), grown))
-                .when((total >= rules.prose_target)
-                      | (item["blank"] & (total >= rules.prose_minimum)),
-                      _state(i + 1, F.lit(0), F.lit(""), grown))
-                .otherwise(_state(state["start"], total, F.lit(""), state["cuts"])))
+        nothing = F.lit("")
+
+        def after_full(back: Column) -> Column:
+            earlier = i + 1 - back["n"]
+            overlaps = (back["sum"] >= rules.prose_overlap) & (earlier > state["start"])
+            return _state(F.when(overlaps, earlier).otherwise(i + 1),
+                          F.when(overlaps, back["sum"]).otherwise(0), nothing,
+                          F.concat(state["cuts"], _cut(state["start"], i + 1, nothing)))
+
+        return (F.when(total >= rules.prose_target,
+                       _let(_walk_back(tokens, i, rules.prose_overlap), after_full))
+                .when(item["blank"] & (total >= rules.prose_minimum),
+                      _state(i + 1, F.lit(0), nothing,
+                             F.concat(state["cuts"], _cut(state["start"], i + 1, nothing))))
+                .otherwise(_state(state["start"], total, nothing, state["cuts"])))
 
     count = F.size(items)
     return F.aggregate(
@@ -162,20 +172,29 @@ def code_cuts(items: Column, tokens: Column, rules: ChunkRules) -> Column:
         i = item["i"]
         label = F.coalesce(item["mark"], state["label"])
         total = state["tokens"] + item["tokens"]
-        grown = F.concat(state["cuts"], _cut(state["start"], i + 1, label))
-        back = _walk_back(tokens, i, overlap)
-        earlier = i + 1 - back["n"]
-        overlaps = (back["sum"] >= overlap) & (earlier > state["start"])
-        # When the repeated units alone fill a window, that window is cut at once.
-        refill = _walk(F.slice(tokens, earlier + 1, back["n"]), target)
-        refilled_end = earlier + refill["n"]
-        return (F.when(item["closes"], _state(i + 1, F.lit(0), F.lit(""), grown))
-                .when((total >= target) & overlaps & (back["sum"] >= target),
-                      _state(refilled_end, back["sum"] - refill["sum"], label,
-                             F.concat(grown, _cut(earlier, refilled_end, label))))
-                .when((total >= target) & overlaps,
-                      _state(earlier, back["sum"], label, grown))
-                .when(total >= target, _state(i + 1, F.lit(0), label, grown))
+
+        def grown() -> Column:
+            return F.concat(state["cuts"], _cut(state["start"], i + 1, label))
+
+        def after_full(back: Column) -> Column:
+            earlier = i + 1 - back["n"]
+            overlaps = (back["sum"] >= overlap) & (earlier > state["start"])
+
+            # When the repeated units alone fill a window, that window is cut at once.
+            def after_refill(refill: Column) -> Column:
+                end = earlier + refill["n"]
+                return _state(end, back["sum"] - refill["sum"], label,
+                              F.concat(grown(), _cut(earlier, end, label)))
+
+            return (F.when(overlaps & (back["sum"] >= target),
+                           _let(_walk(F.slice(tokens, earlier + 1, back["n"]), target),
+                                after_refill))
+                    .otherwise(_state(F.when(overlaps, earlier).otherwise(i + 1),
+                                      F.when(overlaps, back["sum"]).otherwise(0), label,
+                                      grown())))
+
+        return (F.when(item["closes"], _state(i + 1, F.lit(0), F.lit(""), grown()))
+                .when(total >= target, _let(_walk_back(tokens, i, overlap), after_full))
                 .otherwise(_state(state["start"], total, label, state["cuts"])))
 
     return F.aggregate(items, _empty_state(), step, lambda end: end["cuts"])
@@ -203,22 +222,27 @@ def _built_chunks(sections: DataFrame, rules: ChunkRules) -> DataFrame:
     def build(cut: Column, number: Column) -> Column:
         filled = F.filter(F.slice(items, cut["first"] + 1, cut["last"] - cut["first"]),
                           lambda item: ~item["blank"])
-        first = F.get(filled, F.lit(0))["i"]
-        last = F.try_element_at(filled, F.lit(-1))["i"]
-        content = tx.strip(F.array_join(F.transform(
-            F.slice(units, first + 1, last - first + 1), lambda u: u["text"]), "\n"))
-        return F.struct(
-            number.alias("cut_no"),
-            F.get(units, first)["number"].alias("start_line"),
-            F.get(units, last)["number"].alias("end_line"),
-            cut["label"].alias("label"),
-            F.when(F.size(filled) > 0, content).alias("content"))
+
+        def from_to(edge: Column) -> Column:
+            content = tx.strip(F.array_join(F.transform(
+                F.slice(units, edge["a"] + 1, edge["b"] - edge["a"] + 1),
+                lambda u: u["text"]), "\n"))
+            return F.struct(
+                number.alias("cut_no"),
+                F.get(units, edge["a"])["number"].alias("start_line"),
+                F.get(units, edge["b"])["number"].alias("end_line"),
+                cut["label"].alias("label"), content.alias("content"))
+
+        return _let(filled, lambda kept: F.when(F.size(kept) > 0, _let(F.struct(
+            F.get(kept, F.lit(0))["i"].alias("a"),
+            F.get(kept, F.size(kept) - 1)["i"].alias("b")), from_to)))
 
     kept = ["document_id", "path", "root", "file_name", "extension", "modified_at",
             "section_id", "location_label", "range_label"]
     # The outer form: a plain inline makes the optimizer infer a "not empty" filter, push it below
     # the arrays it is computed from, and evaluate all of them a second time.
-    rows = (sections.withColumn("built", F.transform("cuts", build))
+    rows = (sections.withColumn("built", F.filter(F.transform("cuts", build),
+                                                  lambda chunk: chunk.isNotNull()))
             .select(*kept, F.inline_outer("built"))
             .where(F.length("content") >= rules.minimum_chars))
     plain = source_location(F.col("location_label"), F.col("range_label"), F.col("start_line"),

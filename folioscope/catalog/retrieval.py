@@ -113,12 +113,12 @@ _FACETS = f"""
   asked AS (SELECT item_id AS query_id, {sql.strip("regexp_replace(text, '[.] ?', '? ', 'g')")}
             AS text FROM benchmark),
   parts AS (SELECT query_id, text, unnest(regexp_split_to_array(text, '[？?。；;！!]+')) AS part,
-              generate_subscripts(regexp_split_to_array(text, '[？?。；;！!]+'), 1) AS at FROM asked),
-  trimmed AS (SELECT query_id, text, at, regexp_replace(part,
+              generate_subscripts(regexp_split_to_array(text, '[？?。；;！!]+'), 1) AS pos FROM asked),
+  trimmed AS (SELECT query_id, text, pos, regexp_replace(part,
       '^[\\s、，,：:；;。！!？?]+|[\\s、，,：:；;。！!？?]+$', '', 'g') AS facet_text FROM parts),
-  firsts AS (SELECT query_id, min(at) AS at, arg_min(facet_text, at) AS facet_text FROM trimmed
+  firsts AS (SELECT query_id, min(pos) AS pos, arg_min(facet_text, pos) AS facet_text FROM trimmed
              WHERE length(facet_text) >= 4 GROUP BY query_id, lower(facet_text)),
-  numbered AS (SELECT query_id, facet_text, row_number() OVER (PARTITION BY query_id ORDER BY at)
+  numbered AS (SELECT query_id, facet_text, row_number() OVER (PARTITION BY query_id ORDER BY pos)
       AS facet, count(*) OVER (PARTITION BY query_id) AS facets FROM firsts)"""
 
 
@@ -197,7 +197,7 @@ def repeat_queries(spark, sf):
 
 
 def _bm25(spark, sf, extension=None):
-    idx = t.index(spark, sf, vectors=False)
+    idx = t.index(spark, sf)
     terms = queries.query_terms(queries.analyze(t.asked(spark, sf)))
     return t.rounded(sparse.bm25_top(idx.postings, terms, idx.term_stats, idx.corpus_stats,
                                      idx.chunks, RULES, extension), "score")
@@ -258,7 +258,7 @@ def dense_strategy(spark, sf):
     THEN 'BM25 文件元数据匹配' ELSE 'BM25 词法召回' END AS reason
   FROM kept k JOIN features USING (query_id, chunk_id)""")
 def bm25_strategy(spark, sf):
-    return t.rounded(search(t.index(spark, sf, vectors=False), t.asked(spark, sf), "BM25", RULES,
+    return t.rounded(search(t.index(spark, sf), t.asked(spark, sf), "BM25", RULES,
                             embedder=None), "score")
 
 
@@ -326,7 +326,7 @@ _WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}
   FROM k JOIN b ON k.query_id = b.query_id WHERE k.rank > 1""")
 def jaccard_to_best(spark, sf):
     """How close each sparse hit is to its query's best hit."""
-    idx = t.index(spark, sf, vectors=False)
+    idx = t.index(spark, sf)
     hits = _bm25(spark, sf).join(idx.chunks.select("chunk_id", "path", "content"), "chunk_id")
     words = hits.withColumn("words", tx.jaccard_terms(F.col("content"))).drop("content")
     best = words.where("rank = 1").select("query_id", F.col("words").alias("best_words"),

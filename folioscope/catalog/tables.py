@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import dense
-from folioscope.plans.index import Index, index_chunks
-from folioscope.session import ship_package
+from folioscope.plans.index import Index, index_chunks, materialize, open_index
+from folioscope.session import fresh_folder, ship_package
 
 EXTENSIONS = ("md", "py", "java", "txt", "html")
 
@@ -38,9 +38,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "content", F.lit(0).cast("long").alias("modified_at"))
 
 
-def index(spark: SparkSession, sf_dir: str, vectors: bool = True) -> Index:
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The corpus as a stored index. It is built once per application; searches read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = fresh_folder(spark, "index")
+        built = build(spark, sf_dir)
+        materialize(built, folder)
+        _indexes[key] = folder
+    return open_index(spark, _indexes[key])
+
+
+def build(spark: SparkSession, sf_dir: str) -> Index:
     chunks = corpus(spark, sf_dir)
-    return index_chunks(chunks, dense.embed(chunks, "chunk_id", "content") if vectors else None)
+    return index_chunks(chunks, dense.embed(chunks, "chunk_id", "content"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules
@@ -19,10 +19,6 @@ class Index:
     term_stats: DataFrame
     corpus_stats: DataFrame
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {"chunks": self.chunks, "postings": self.postings,
-                "term_stats": self.term_stats, "corpus_stats": self.corpus_stats}
-
 
 def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     """Derives postings and statistics; joins vectors (chunk_id, embedding) when given."""
@@ -44,13 +40,26 @@ def build_index(documents: DataFrame, embedder: dense.Embedder | None = dense.ha
     return index_chunks(chunks, vectors)
 
 
+TABLES = ("chunks", "postings", "term_stats", "corpus_stats")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+
+
 def materialize(index: Index, path: str) -> Index:
     """Writes the index as tables under ``path`` and reads it back, so that searches start from
-    stored postings instead of from the texts. Postings are clustered by chunk within files."""
+    stored postings instead of from the texts. The statistics are derived from the postings just
+    written, not from the texts again."""
     spark = index.chunks.sparkSession
-    for name, table in index.tables().items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in index.tables()])
+    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    lexical.document_frequency(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
+    lexical.corpus_stats(chunks, postings).write.mode("overwrite").parquet(
+        f"{path}/corpus_stats")
+    return open_index(spark, path)
 
 
 def index_facets(chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from folioscope.functions import fixed, scores
 from folioscope.operators import dense, fusion, queries, sparse
 from folioscope.operators.queries import first_per_query
 from folioscope.plans.index import Index
+from folioscope.session import cut_lineage
 
 STRATEGIES = ("BM25", "DENSE", "RRF", "RRF_RERANK")
 HIT_COLUMNS = ("query_id", "rank", "chunk_id", "score", "reason")
@@ -81,8 +82,9 @@ def search(index: Index, asked_queries: DataFrame, strategy: str = "RRF_RERANK",
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    asked = queries.analyze(asked_queries)
-    terms = queries.query_terms(asked)
+    # Queries and their terms are small and read by every step below.
+    asked = cut_lineage(queries.analyze(asked_queries))
+    terms = cut_lineage(queries.query_terms(asked))
     vectors = None
     if embedder is not None and strategy != "BM25":
         vectors = query_vectors(asked, embedder)
@@ -94,7 +96,8 @@ def search(index: Index, asked_queries: DataFrame, strategy: str = "RRF_RERANK",
         return (near.where(F.col("rank") <= rules.limit)
                 .select("query_id", "rank", "chunk_id", scores.clamp(F.col("score")).alias("score"),
                         F.lit(fixed.REASON_DENSE).alias("reason")))
-    pool = candidates(index, asked, terms, vectors, rules, extension)
+    # At most pool_limit rows per query, and read five times by the reranking.
+    pool = cut_lineage(candidates(index, asked, terms, vectors, rules, extension))
     if strategy == "RRF":
         ranked, order, score = pool, "pool_rank", "fusion"
         reason = fixed.REASON_FUSED

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -34,12 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="folioscope-checkpoints-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="folioscope-checkpoints-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Stores a small intermediate result that later steps read several times, so that it is not
+    computed again for each of them and a lost executor costs no more than a read."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"

@@ -322,7 +322,7 @@ _WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}
   b AS (SELECT * FROM k WHERE rank = 1)
   SELECT k.query_id, k.chunk_id, round(CASE WHEN len(k.w) = 0 OR len(b.w) = 0 THEN 0
     ELSE greatest(len(list_intersect(k.w, b.w)) * 1.0 / len(list_distinct(list_concat(k.w, b.w))),
-      CASE WHEN k.path = b.path THEN 0.35 ELSE 0 END) END, 6) AS similarity
+      CASE WHEN k.path = b.path THEN 0.35 ELSE 0 END) END, 12) AS similarity
   FROM k JOIN b ON k.query_id = b.query_id WHERE k.rank > 1""")
 def jaccard_to_best(spark, sf):
     """How close each sparse hit is to its query's best hit."""
@@ -333,7 +333,7 @@ def jaccard_to_best(spark, sf):
                                           F.col("path").alias("best_path"))
     return words.where("rank > 1").join(best, "query_id").select(
         "query_id", "chunk_id", F.round(tx.jaccard(
-            F.col("words"), F.col("best_words"), F.col("path") == F.col("best_path")), 6)
+            F.col("words"), F.col("best_words"), F.col("path") == F.col("best_path")), 12)
         .alias("similarity"))
 
 
@@ -569,8 +569,8 @@ def _metrics(hits: str) -> str:
 _EVAL = f"""{sql.hybrid(20)}, r AS ({sql.capped('reranked', 'local_rank', 20)}),
   hits AS (SELECT r.query_id AS case_id, r.rank, c.file_name, c.content
            FROM r JOIN chunks c USING (chunk_id)), {_metrics('hits')}"""
-_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in evaluation.METRICS)
-_AVERAGED = ", ".join(f"round(avg({m}), 6) AS {m}" for m in evaluation.METRICS)
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in evaluation.METRICS)
+_AVERAGED = ", ".join(f"round(avg({m}), 9) AS {m}" for m in evaluation.METRICS)
 _REPORT = f"""SELECT coalesce(category, 'ALL') AS category, count(*) AS cases, {_AVERAGED},
   count(*) FILTER (WHERE forbidden) AS forbidden,
   count(*) FILTER (WHERE hard_negative_first) AS hard_negative_first
@@ -584,12 +584,12 @@ def _evaluated(spark, sf):
 @query("eval_case_metrics", f"WITH {_EVAL} SELECT case_id, category, answerable, {_ROUNDED},"
                             " forbidden, hard_negative_first FROM metrics")
 def eval_case_metrics(spark, sf):
-    return t.rounded(_evaluated(spark, sf).drop("split"), *evaluation.METRICS)
+    return t.rounded(_evaluated(spark, sf).drop("split"), *evaluation.METRICS, digits=9)
 
 
 @query("eval_report", f"WITH {_EVAL} {_REPORT}")
 def eval_report(spark, sf):
-    return t.rounded(evaluation.report(_evaluated(spark, sf)), *evaluation.METRICS)
+    return t.rounded(evaluation.report(_evaluated(spark, sf)), *evaluation.METRICS, digits=9)
 
 
 GATE = {"min_recall5": 0.90, "min_mrr10": 0.85, "min_ndcg10": 0.80, "min_hit5": 0.90,
@@ -612,7 +612,7 @@ def eval_gate(spark, sf):
 
 @query("ablation")
 def ablation(spark, sf):
-    return t.rounded(evaluate.ablate(t.index(spark, sf), t.cases(spark, sf)), *evaluation.METRICS)
+    return t.rounded(evaluate.ablate(t.index(spark, sf), t.cases(spark, sf)), *evaluation.METRICS, digits=9)
 
 
 @query("latency_percentiles", """SELECT event_type, quantile_disc(value, 0.5) AS p50,

@@ -30,8 +30,8 @@ def terms(source: str, key: str, text: str, query: bool) -> str:
                CAST({latin} AS DOUBLE) AS w FROM {source}
         UNION ALL
         SELECT DISTINCT {key}, c.name AS term, CAST({concept} AS DOUBLE) AS w
-        FROM {source} JOIN (VALUES {CONCEPTS}) AS c(name, phrase)
-          ON contains(regexp_replace({norm(text)}, '\\s+', '', 'g'), c.phrase))
+        FROM (SELECT {key}, regexp_replace({norm(text)}, '\\s+', '', 'g') AS compact FROM {source})
+        JOIN (VALUES {CONCEPTS}) AS c(name, phrase) ON contains(compact, c.phrase))
       WHERE term NOT IN ({STOP}) GROUP BY {key}, term"""
 
 

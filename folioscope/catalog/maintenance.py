@@ -8,7 +8,7 @@ from folioscope.catalog import tables as t
 from folioscope.config import HistoryRules, ScanRules
 from folioscope.functions import fixed
 from folioscope.operators import chunking, conversations, indexing, lifecycle
-from folioscope.session import fresh_folder
+from folioscope.session import fresh_folder, spread
 from folioscope.sources import decode, html, scan
 from folioscope.streaming import deltas, diagnostics, freshness, incremental
 
@@ -157,14 +157,14 @@ def nested_roots(spark, sf):
 
 @query("html_sections")
 def html_sections(spark, sf):
-    units, _ = html.split_failures(html.extract_pages(t.load(spark, sf, "pages")))
+    units, _ = html.split_failures(html.extract_pages(spread(t.load(spark, sf, "pages"), "page_id")))
     return units
 
 
 @query("html_chunks")
 def html_chunks(spark, sf):
     pages = t.load(spark, sf, "pages")
-    units, _ = html.split_failures(html.extract_pages(pages))
+    units, _ = html.split_failures(html.extract_pages(spread(pages, "page_id")))
     documents = pages.select(
         "page_id", F.col("url").alias("document_id"), F.col("url").alias("path"),
         F.lit("").alias("root"), F.concat(F.col("page_id").cast("string"), F.lit(".html"))

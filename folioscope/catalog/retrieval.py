@@ -27,15 +27,16 @@ def query(name: str, oracle: str | None = None):
 
 
 def _lexical(spark, sf):
-    chunks = t.corpus(spark, sf)
-    postings = lexical.chunk_postings(chunks)
-    return chunks, postings
+    """Chunks and postings of the stored index."""
+    idx = t.index(spark, sf)
+    return idx.chunks, idx.postings
 
 
 @query("doc_terms", f"WITH {sql.POSTINGS} SELECT chunk_id, term, round(weight, 6) AS weight"
                     " FROM postings")
 def doc_terms(spark, sf):
-    return t.rounded(_lexical(spark, sf)[1].select("chunk_id", "term", "weight"), "weight")
+    return t.rounded(lexical.chunk_postings(t.corpus(spark, sf)).select(
+        "chunk_id", "term", "weight"), "weight")
 
 
 @query("term_df", f"WITH {sql.POSTINGS} SELECT term, df FROM df")

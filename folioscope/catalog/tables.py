@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import dense
 from folioscope.plans.index import Index, index_chunks, materialize, open_index
-from folioscope.session import fresh_folder, ship_package
+from folioscope.session import fresh_folder, ship_package, spread
 
 EXTENSIONS = ("md", "py", "java", "txt", "html")
 
@@ -17,13 +17,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: ten neighbours form one file."""
     number = F.floor(F.col("doc_id") / 10)
     extension = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (number % 5 + 1).cast("int"))
     lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     start = (F.col("doc_id") % 10 * 1000 + 1).cast("int")
-    named = load(spark, sf_dir, "documents").select(
+    named = texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("chunk_id"), extension.alias("extension"),
         F.concat(number.cast("string"), F.lit("."), extension).alias("file_name"),
         F.floor(F.col("doc_id") / 1000).cast("string").alias("folder"),
@@ -53,8 +57,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def build(spark: SparkSession, sf_dir: str) -> Index:
-    chunks = corpus(spark, sf_dir)
-    return index_chunks(chunks, dense.embed(chunks, "chunk_id", "content"))
+    return index_chunks(dense.with_vectors(corpus(spark, sf_dir), F.col("content")))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, extension: str = "md") -> DataFrame:
     name = F.concat(F.col("doc_id").cast("string"), F.lit(f".{extension}"))
-    return load(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.concat(F.lit("/corpus\u0000"), name).alias("document_id"),
         F.concat(F.lit("/corpus/"), name).alias("path"), F.lit("/corpus").alias("root"),
         name.alias("file_name"), F.lit(extension).alias("extension"),
@@ -131,12 +134,12 @@ def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
              .withColumn("word", F.array_max(F.transform("w", lambda w: F.struct(
                  F.length(w).alias("n"), w.alias("word"))))["word"]))
-    texts = corpus(spark, sf_dir)
-    held = texts.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(
+    chunks = corpus(spark, sf_dir)
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(
         "content", F.lit(r"\w+"), 0))).alias("word"))
     near = held.join(keyed.select("item_id", "item", "word"), "word").select(
         "chunk_id", "item_id", "item")
-    return near.join(texts.select("chunk_id", "file_name", "content"), "chunk_id").where(
+    return near.join(chunks.select("chunk_id", "file_name", "content"), "chunk_id").where(
         F.contains("content", "item")).select("item_id", "chunk_id", "file_name")
 
 

@@ -169,6 +169,18 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Embedder = hashed_vect
     return rows.select(key, text).mapInPandas(run, f"{key} {key_type}, embedding array<float>")
 
 
+def with_vectors(chunks: DataFrame, text, embedder: Embedder = hashed_vectors) -> DataFrame:
+    """Adds ``embedding`` to every chunk in place, without a join."""
+    @F.pandas_udf("array<float>")
+    def vector(texts: pd.Series) -> pd.Series:
+        matrix = np.asarray(embedder(texts.tolist()), dtype=np.float32)
+        if matrix.ndim != 2 or len(matrix) != len(texts):
+            raise ValueError("the embedder returned a wrong number of vectors")
+        return pd.Series(list(matrix))
+
+    return chunks.withColumn("embedding", vector(text))
+
+
 def embed_new(chunks: DataFrame, existing: DataFrame | None,
               embedder: Embedder = hashed_vectors) -> DataFrame:
     """Vectors of all chunks: known ones are kept, only the others are computed."""

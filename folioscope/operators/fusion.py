@@ -74,6 +74,9 @@ def lexical_features(candidates: DataFrame, analyzed: DataFrame, query_terms: Da
         F.filter(F.collect_list("term"), lambda t: ~t.startswith("concept:")).alias("terms"))
     described = (candidates
                  .withColumn("norm_content", tx.normalize_text(F.col("content")))
+                 # Most texts hold no declaring word and no bracket at all.
+                 .withColumn("may_declare", F.col("norm_content").rlike(
+                     r"(?:class|interface|record|enum|def|function) |\("))
                  .withColumn("norm_name", tx.normalize_text(F.col("file_name")))
                  .withColumn("norm_path", tx.normalize_text(F.col("path")))
                  .join(analyzed.select("query_id", "normalized", "code_intent",
@@ -89,7 +92,8 @@ def lexical_features(candidates: DataFrame, analyzed: DataFrame, query_terms: Da
               .withColumn("name_matches", matches(lambda t: F.contains(F.col("norm_name"), t)))
               .withColumn("path_matches", matches(lambda t: F.contains(F.col("norm_path"), t)))
               .withColumn("declarations", matches(
-                  lambda t: (F.length(t) >= 3) & declares(F.col("norm_content"), t)))
+                  lambda t: F.col("may_declare") & (F.length(t) >= 3)
+                  & declares(F.col("norm_content"), t)))
               .withColumn("concept_matches", F.coalesce("concepts", F.lit(0)))
               .withColumn("exact", F.contains("norm_content", "normalized"))
               .withColumn("code_file", F.col("code_intent")

@@ -36,8 +36,10 @@ def build_index(documents: DataFrame, embedder: dense.Embedder | None = dense.ha
     """Chunks and indexes plain-text documents (document_id, path, root, file_name, extension,
     modified_at, text)."""
     chunks = chunking.chunk_sections(chunking.text_sections(documents), rules)
-    vectors = None if embedder is None else dense.embed_new(chunks, None, embedder)
-    return index_chunks(chunks, vectors)
+    if embedder is not None:
+        chunks = dense.with_vectors(chunks, F.concat_ws(
+            "\n", "file_name", "source_location", "content"), embedder)
+    return index_chunks(chunks)
 
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats")

@@ -46,6 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Spreads rows over all cores when the input has fewer splits than cores, as one small file
+    has. An input of many splits is left as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, key)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Stores a small intermediate result that later steps read several times, so that it is not
     computed again for each of them and a lost executor costs no more than a read."""

@@ -80,9 +80,9 @@ def _joined(corpus: DataFrame, queries: DataFrame, rules: SearchRules) -> DataFr
     corpus_blocks = max(1, -(-corpus.count() // rows))
     query_blocks = max(1, -(-queries.count() // rows))
     left = corpus.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(corpus_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+        "qb", F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")))
     right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).cast("long"))
+        "cb", F.explode(F.expr(f"sequence(0L, {corpus_blocks - 1}L)")))
 
     def scan(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         parts = [_best_of_block(ids, matrix, block, rules) for ids, matrix in _by_dimension(

@@ -43,6 +43,8 @@ class _Blocks(HTMLParser):
                 self.main_depth = None
             if self.active and self.active[-1][4] > len(self.open):
                 self.active.pop()
+                for block in self.active:
+                    block[1].append(" ")
             if tag == "title":
                 self.in_title = False
 
@@ -82,6 +84,8 @@ class _Blocks(HTMLParser):
             nested = any(t in _BLOCKS for t in self.open[floor:-1])
             inside = self.main_depth is not None or not self.main_found
             block = [tag, [], inside, nested, len(self.open)]
+            for outer in self.active:
+                outer[1].append(" ")
             self.blocks.append(block)
             self.active.append(block)
         elif tag in _ENDS_PARAGRAPH or tag in ("tr", "ul", "ol"):

@@ -14,7 +14,11 @@ WARNING = "path string, reader_id string, message string, skipped boolean"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(root, path, rel_path, size, modified_at) of every file below a root; contents unread."""
+    """(root, path, rel_path, size, modified_at) of every file below a root; contents unread.
+
+    Spark's file listing leaves out names that start with a dot or an underscore. The scan rules
+    cover them for listings from elsewhere, which only need the same columns.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^file:/*", "/")
     clean_root = root.rstrip("/")

@@ -81,20 +81,20 @@ def publish_revision(spark: SparkSession, folder: str, revision: int, expected_h
                      current_hash: str) -> bool:
     """Points readers to a revision if the sources are still what it was built from.
 
-    One writer wins a revision: the claim file is created exclusively. A losing or stale build
-    deletes its own revision.
+    One writer wins a revision: the claim file is created exclusively. A stale build deletes its
+    own revision.
     """
     fs, jvm = _fs(spark, folder)
-    claim = _path(jvm, f"{folder}/_claims/{revision}")
-    try:
-        won = expected_hash == current_hash and (published_revision(spark, folder) or 0) < revision
-        if won:
-            fs.create(claim, False).close()
-    except Exception:
+    published = published_revision(spark, folder)
+    if published == revision:
         return False
-    if not won:
+    if expected_hash != current_hash or (published or 0) > revision:
         fs.delete(_path(jvm, f"{folder}/revision={revision}"), True)
         return False
+    try:
+        fs.create(_path(jvm, f"{folder}/_claims/{revision}"), False).close()
+    except Exception:
+        return False
     aside = _path(jvm, f"{folder}/_claims/{uuid.uuid4()}.json")
     out = fs.create(aside, False)
     out.write(bytearray(json.dumps({"revision": revision}).encode()))

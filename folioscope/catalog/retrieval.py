@@ -10,6 +10,7 @@ from folioscope.functions import text as tx
 from folioscope.operators import context, dense, evaluation, fusion, highlights, lexical, queries, sparse
 from folioscope.plans import ask, evaluate
 from folioscope.plans.index import index_facets
+from folioscope.session import cut_lineage
 from folioscope.plans.search import rerank_pool, candidates, query_vectors, search, with_chunks
 
 QUERIES: dict = {}
@@ -199,7 +200,7 @@ def repeat_queries(spark, sf):
 
 def _bm25(spark, sf, extension=None):
     idx = t.index(spark, sf)
-    terms = queries.query_terms(queries.analyze(t.asked(spark, sf)))
+    terms = cut_lineage(queries.query_terms(queries.analyze(t.asked(spark, sf))))
     return t.rounded(sparse.bm25_top(idx.postings, terms, idx.term_stats, idx.corpus_stats,
                                      idx.chunks, RULES, extension), "score")
 
@@ -272,9 +273,10 @@ def rrf_fusion(spark, sf):
 
 def _pool(spark, sf):
     idx = t.index(spark, sf)
-    asked = queries.analyze(t.asked(spark, sf))
-    terms = queries.query_terms(asked)
-    pool = candidates(idx, asked, terms, query_vectors(asked, dense.hashed_vectors), RULES, None)
+    asked = cut_lineage(queries.analyze(t.asked(spark, sf)))
+    terms = cut_lineage(queries.query_terms(asked))
+    pool = cut_lineage(candidates(idx, asked, terms, query_vectors(asked, dense.hashed_vectors),
+                                  RULES, None))
     return idx, asked, terms, pool
 
 

@@ -93,7 +93,7 @@ def lexical_features(candidates: DataFrame, analyzed: DataFrame, query_terms: Da
               .withColumn("path_matches", matches(lambda t: F.contains(F.col("norm_path"), t)))
               .withColumn("declarations", matches(
                   lambda t: F.col("may_declare") & (F.length(t) >= 3)
-                  & declares(F.col("norm_content"), t)))
+                  & F.contains(F.col("norm_content"), t) & declares(F.col("norm_content"), t)))
               .withColumn("concept_matches", F.coalesce("concepts", F.lit(0)))
               .withColumn("exact", F.contains("norm_content", "normalized"))
               .withColumn("code_file", F.col("code_intent")

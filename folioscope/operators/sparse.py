@@ -24,22 +24,26 @@ def bm25_scores(postings: DataFrame, query_terms: DataFrame, term_stats: DataFra
     """(query_id, chunk_id, score) of every pair that shares a term.
 
     The statistics cover the whole corpus, whatever is filtered later. Postings stay where they
-    are, spread by chunk, and the query terms come to them: shipped to every task as long as Spark
-    finds them small, else shuffled with each term's postings spread over ``term_salts`` keys.
+    are, spread by chunk, and the query terms come to them as long as a count finds them few.
+    Beyond that both sides are shuffled by term, with each term's postings spread over
+    ``term_salts`` keys, so that no term is one reducer's work.
     """
     weighed = (query_terms.join(term_stats, "term")
                .join(F.broadcast(stats), F.lit(True))
                .select("query_id", "term", "average_length",
                        (scores.idf_bm25(F.col("df"), F.col("documents"))
-                        * scores.clamp(F.col("weight"), 0.25, 3.0)).alias("gain"),
-                       F.explode(F.sequence(F.lit(0), F.lit(rules.term_salts - 1))).alias("salt")))
-    salted = postings.withColumn(
-        "salt", F.pmod(F.xxhash64("chunk_id"), F.lit(rules.term_salts)).cast("int"))
+                        * scores.clamp(F.col("weight"), 0.25, 3.0)).alias("gain")))
+    if query_terms.count() <= rules.max_shipped_terms:
+        matched = postings.join(F.broadcast(weighed), "term")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(rules.term_salts - 1))
+        salted = postings.withColumn(
+            "salt", F.pmod(F.xxhash64("chunk_id"), F.lit(rules.term_salts)).cast("int"))
+        matched = salted.join(weighed.withColumn("salt", F.explode(salts)), ["term", "salt"])
     frequency = F.col("weight")
     damped = frequency + rules.k1 * (
         1.0 - rules.b + rules.b * F.col("doc_length") / F.col("average_length"))
-    return (salted.join(weighed, ["term", "salt"])
-            .groupBy("query_id", "chunk_id")
+    return (matched.groupBy("query_id", "chunk_id")
             .agg(F.round(F.sum(F.col("gain") * frequency * (rules.k1 + 1.0) / damped),
                          rules.score_digits).alias("score")))
 

@@ -18,7 +18,9 @@ from folioscope.config import TermWeights
 from folioscope.functions import fixed
 
 # White space as Unicode sees it, without the three no-break spaces.
-SPACE = r"[\s\x1C-\x1F\p{Z}&&[^\u00A0\u2007\u202F]]"
+SPACES = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B),
+    0x2028, 0x2029, 0x205F, 0x3000)))
 NOT_SPACE = r"[^\s\x1C-\x1F\p{Z}]|[\u00A0\u2007\u202F]"
 WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
@@ -29,7 +31,9 @@ NFKC_STABLE_RANGES = (
     (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x20AC, 0x20AC),
     (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF),
 )
-_MAY_CHANGE = "[^" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in NFKC_STABLE_RANGES) + "]"
+# One range check settles ASCII; only other characters are looked up in the list.
+_MAY_CHANGE = r"[^\x00-\x7F](?<![" + "".join(
+    f"\\u{a:04X}-\\u{b:04X}" for a, b in NFKC_STABLE_RANGES[1:]) + "])"
 
 CAMEL_BOUNDARY = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 TERM_TYPE = "array<struct<term:string,weight:double>>"
@@ -50,11 +54,11 @@ def normalize_text(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

@@ -151,3 +151,16 @@ def test_external_rerank_marks(spark):
     got = [(r.chunk_id, round(r.score, 3)) for r in
            fusion.merge_external_scores(ranked, outside).orderBy("rank").collect()]
     assert got == [("c2", 0.7), ("c1", 0.0), ("c0", 0.2), ("c3", 0.125)]
+
+
+def test_shipped_and_salted_terms_score_alike(spark):
+    rng = random.Random(8)
+    rows = [(f"c{n}", f"/r/f{n % 9}.md", n, n, " ".join(
+        ["common"] + rng.choices([f"w{i}" for i in range(30)], k=8))) for n in range(120)]
+    index = index_chunks(chunks_of(spark, rows))
+    terms = spark.createDataFrame([(q, t, 1.25) for q in range(3) for t in ("common", f"w{q}")],
+                                  "query_id int, term string, weight double")
+    got = [sorted(map(tuple, sparse.bm25_scores(
+        index.postings, terms, index.term_stats, index.corpus_stats,
+        SearchRules(max_shipped_terms=limit)).collect())) for limit in (100, 0)]
+    assert got[0] == got[1] and len(got[0]) == 360

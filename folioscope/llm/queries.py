@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate
+from folioscope.llm import decontaminate, quality, toxicity
+from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import ship_package
 
 
@@ -13,13 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(labelled_sample(
+        documents, table(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 3) != 1,
+        quality.PER_CLASS))
+    return quality.score(documents, model).withColumn(
+        "held_out", remainder(F.col("doc_id"), 3) == 1)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(labelled_sample(
+        documents, table(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 5) != 0,
+        toxicity.PER_CLASS))
+    return toxicity.score(documents, lexicon).withColumn(
+        "held_out", remainder(F.col("doc_id"), 5) == 0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "digest")
 
 
 def queries() -> dict:
-    return {"op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, quality, toxicity
+from folioscope.llm import decontaminate, licenses, quality, toxicity
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import ship_package
 
@@ -24,6 +24,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "held_out", remainder(F.col("doc_id"), 3) == 1)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    index = licenses.build_index(*licenses.document_frequencies(documents))
+    return licenses.scan(documents, index)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(labelled_sample(
@@ -39,7 +45,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+    return {"op1_quality": op1_quality, "op6_licenses": op6_licenses,
+            "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, licenses, quality, toxicity
+from folioscope.llm import decontaminate, licenses, packing, quality, tokens, toxicity
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import ship_package
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +30,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "held_out", remainder(F.col("doc_id"), 3) == 1)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack(documents, tokens.share_vocabulary(spark, vocabulary_path()))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document: a fiftieth is deleted from its first third on, its first forty
+    characters are repeated at the middle, and its last twentieth gives way to a mark."""
+    documents = table(spark, sf_dir, "documents")
+    vocabulary = tokens.share_vocabulary(spark, vocabulary_path())
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    third, cut, middle = F.floor(n / 3), F.floor(n / 50), F.floor(n / 2)
+    size = n - cut + F.least(n, F.lit(40))
+
+    def edit(start: Column, stop: Column, text: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.alias("text"))
+
+    edits = F.array(
+        edit(third, third + cut, F.lit("")), edit(middle, middle, F.substring("text", 1, 40)),
+        edit(size - F.floor(n / 20), size, F.lit(" [cut]")))
+    trees = tokens.build_trees(documents.withColumn("edits", edits), vocabulary, keep=("edits",))
+    return tokens.recount(trees, vocabulary)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     index = licenses.build_index(*licenses.document_frequencies(documents))
@@ -45,7 +75,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op6_licenses": op6_licenses,
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing,
+            "op3_token_counts": op3_token_counts, "op6_licenses": op6_licenses,
             "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, licenses, packing, quality, tokens, toxicity
+from folioscope.llm import decontaminate, licenses, packing, quality, tokens, toxicity, warc
 from folioscope.llm.training import labelled_sample, remainder
-from folioscope.session import ship_package
+from folioscope.session import fresh_folder, ship_package
 
 
 def vocabulary_path() -> str:
@@ -60,6 +60,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents, index)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(labelled_sample(
@@ -77,6 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_packing": op2_packing,
             "op3_token_counts": op3_token_counts, "op6_licenses": op6_licenses,
+            "op7_warc": op7_warc,
             "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 

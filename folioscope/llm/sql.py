@@ -27,4 +27,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-SQL = {"op10_decontaminate": OP10}
+OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+             sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT payload_digest, max(page_id) AS last, count(*) AS n FROM p
+      WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN n > 1 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN r ON p.payload_digest = r.payload_digest AND payload_bytes >= 1000
+"""
+
+SQL = {"op7_warc": OP7, "op10_decontaminate": OP10}

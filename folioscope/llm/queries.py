@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, licenses, packing, quality, tokens, toxicity, warc
+from folioscope.llm import decontaminate, licenses, near_duplicates, packing, quality, tokens, toxicity, warc
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import fresh_folder, ship_package
 
@@ -54,6 +54,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.recount(trees, vocabulary)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     index = licenses.build_index(*licenses.document_frequencies(documents))
@@ -82,7 +86,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_packing": op2_packing,
-            "op3_token_counts": op3_token_counts, "op6_licenses": op6_licenses,
+            "op3_token_counts": op3_token_counts, "op5_ngram_join": op5_ngram_join,
+            "op6_licenses": op6_licenses,
             "op7_warc": op7_warc,
             "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, licenses, near_duplicates, packing, quality, tokens, toxicity, warc
+from folioscope.llm import decontaminate, fingerprints, licenses, near_duplicates, packing, quality, tokens
+from folioscope.llm import toxicity, warc
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import fresh_folder, ship_package
 
@@ -54,6 +55,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.recount(trees, vocabulary)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -86,7 +91,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_packing": op2_packing,
-            "op3_token_counts": op3_token_counts, "op5_ngram_join": op5_ngram_join,
+            "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
+            "op5_ngram_join": op5_ngram_join,
             "op6_licenses": op6_licenses,
             "op7_warc": op7_warc,
             "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}

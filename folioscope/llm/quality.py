@@ -92,29 +92,27 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, passes: int
     """Learns from (doc_id, text, label) rows. Each shard learns by itself, and the weights are
     averaged; the driver gets at most ``2 ** bits`` of them."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indices, values, labels = [], [], []
-        for batch in batches:
-            y = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                row, place, tokens = features(data, offsets, bits)
-                key, count = np.unique(row << bits | place, return_counts=True)
-                cut = np.searchsorted(key, np.arange(hi - lo + 1) << bits)
-                for r in range(hi - lo):
-                    own = slice(cut[r], cut[r + 1])
-                    indices.append(np.append(key[own] & ((1 << bits) - 1), 1 << bits))
-                    values.append(np.append(count[own] / max(tokens[r], 1) ** 0.5, 1.0))
-                labels.append(y[lo:hi])
-        if not labels:
-            return
-        w = _update(indices, values, np.concatenate(labels), bits, passes)
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("text", "ascending")]).combine_chunks()
+        labels = table["label"].to_numpy()
+        indices, values = [], []
+        for lo, hi, data, offsets in slices(table["text"].combine_chunks()):
+            row, place, tokens = features(data, offsets, bits)
+            key, count = np.unique(row << bits | place, return_counts=True)
+            cut = np.searchsorted(key, np.arange(hi - lo + 1) << bits)
+            for r in range(hi - lo):
+                own = slice(cut[r], cut[r + 1])
+                indices.append(np.append(key[own] & ((1 << bits) - 1), 1 << bits))
+                values.append(np.append(count[own] / max(tokens[r], 1) ** 0.5, 1.0))
+        w = _update(indices, values, labels, bits, passes)
         at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
+        return pa.table({"place": at, "weight": w[at]})
 
-    spread = sample.select("doc_id", "text", "label").repartition(shards, F.xxhash64("doc_id")) \
-        .sortWithinPartitions(F.xxhash64("doc_id"), "text")
-    mean = spread.mapInArrow(learn, "place long, weight double").groupBy("place").agg(
-        (F.sum("weight") / shards).alias("weight")).toPandas()
+    place = F.xxhash64("doc_id")
+    dealt = sample.select(place.alias("place"), "text", "label", F.pmod(place, F.lit(shards)).alias("shard"))
+    used = max(1, dealt.select("shard").distinct().count())
+    mean = dealt.groupBy("shard").applyInArrow(learn, "place long, weight double").groupBy("place").agg(
+        (F.sum("weight") / used).alias("weight")).toPandas()
     weights = np.zeros((1 << bits) + 1)
     weights[mean["place"].to_numpy(int)] = mean["weight"].to_numpy(float)
     return Model(weights[:-1].astype(np.float32), float(weights[-1]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, fingerprints, licenses, near_duplicates, packing, quality, tokens
-from folioscope.llm import toxicity, warc
+from folioscope.llm import repeats, toxicity, warc
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import fresh_folder, ship_package
 
@@ -75,6 +75,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("text", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(labelled_sample(
@@ -95,7 +99,7 @@ def queries() -> dict:
             "op5_ngram_join": op5_ngram_join,
             "op6_licenses": op6_licenses,
             "op7_warc": op7_warc,
-            "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+            "op8_repeats": op8_repeats, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

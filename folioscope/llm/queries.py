@@ -76,7 +76,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents")).drop("text", "kept")
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("text", "rest")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,8 +252,11 @@ def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
         "r", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
-def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, text, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST,
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, text, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256
+    (of the remaining bytes), rest (the remaining text, without parts of characters; null where nothing
+    was removed)."""
     spark = documents.sparkSession
     folder = fresh_folder(spark, "repeats")
 
@@ -262,7 +265,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
         return spark.read.parquet(f"{folder}/{name}")
 
     keyed = documents.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(
-        F.coalesce("text", F.lit(""))).alias("digest"), "text")
+        F.coalesce("text", F.lit(""))).alias("digest"), "text", *(F.col(k).alias(f"_{k}") for k in keep))
     rows = store(anchored(keyed, length, gram), "anchored")
     copies = store(rows.groupBy(F.col("digest").alias("of")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("r").alias("first_r")).where(F.col("copies") > 1), "copies")
@@ -290,8 +293,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     by_text = rows.select("r", F.col("digest").alias("of")).join(spans, "r").select("of", F.lit(1).cast("long").alias("copies"), "spans")
     decided = store(by_text.join(copies.select("of"), "of", "left_anti").unionAll(copies.select(
         "of", "copies", F.lit(None).cast("array<struct<first:long,last:long>>").alias("spans"))), "decided")
-    final = keyed.join(decided, F.col("digest") == F.col("of"), "left").select("doc_id", "text", "copies", "spans")
-    return removed(final, length)
+    final = keyed.join(decided, F.col("digest") == F.col("of"), "left")
+    return removed(final.select("doc_id", "text", "copies", "spans", *(f"_{k}" for k in keep)), length, keep)
 
 
 def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -305,13 +308,13 @@ def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def removed(decided: DataFrame, length: int) -> DataFrame:
+def removed(decided: DataFrame, length: int, keep: tuple[str, ...]) -> DataFrame:
     """Takes the spans out of each text."""
-    names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "text", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, digests, kept = [], [], []
+            numbers, digests, rests = [], [], []
             for text, copies, spans in zip(
                     batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
@@ -326,12 +329,14 @@ def removed(decided: DataFrame, length: int) -> DataFrame:
                 rest = b"".join([*parts, data[at:]])
                 numbers.append((len(data), len(data) - len(rest), len(gone)))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                rests.append(rest.decode("utf-8", "ignore") if gone else None)
             values = np.array(numbers, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(values[:, i]) for i in range(3)), pa.array(digests, pa.string()),
-                 pa.array(kept, pa.binary())], names)
+                [batch.column(0), batch.column(1), *(batch.column(4 + i) for i in range(len(keep))),
+                 *(pa.array(values[:, i]) for i in range(3)), pa.array(digests, pa.string()),
+                 pa.array(rests, pa.string())], names)
 
+    kinds = [("doc_id", "doc_id"), ("text", "text"), *((k, f"_{k}") for k in keep)]
     return decided.mapInArrow(
-        work, f"doc_id {decided.schema['doc_id'].dataType.simpleString()}, text string, n_bytes long,"
-              " n_removed long, n_spans long, kept_sha256 string, kept binary")
+        work, ", ".join(f"{n} {decided.schema[c].dataType.simpleString()}" for n, c in kinds)
+        + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest string")

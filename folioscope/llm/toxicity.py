@@ -201,3 +201,15 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(
         work, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double,"
               " predicted int, n_matches long")
+
+
+def keep_mild(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows that the lexicon doesn't reject, whole and in place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            values, _ = _features(automaton, batch.column("text"))
+            yield batch.filter(pa.array(lexicon.score(values) < 0.5))
+
+    return documents.mapInArrow(work, documents.schema)

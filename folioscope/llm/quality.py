@@ -3,7 +3,7 @@ leader updates and scored as sparse dot products.
 
 Tokens are runs of word characters and runs of signs. Features are single tokens and pairs of
 neighbours, each as written (lower case) and as a shape (signs stay, words become capitals, capitalised,
-lower case, with digits or without letters), hashed into ``2 ** BITS`` places; a feature's value is its
+lower case, with digits or without letters; pairs tell whether a token repeats the one or two before), hashed into ``2 ** BITS`` places; a feature's value is its
 count over the root of the number of tokens.
 
 Defined results: null and empty texts have no features and get the score of the intercept; repeated rows
@@ -59,9 +59,13 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
         [n_digit > 0, (n_upper > 1) & (n_lower == 0), first_upper > 0, n_lower > 0], [1, 2, 3, 4], 5)
     shape = np.where(kind[start] == 1, mix(shape.astype(np.uint64)), surface)
     pair = np.flatnonzero(row[1:] == row[:-1])
+    # a shape pair also tells whether the word is that of one or two tokens before
+    again = np.zeros(len(row), np.uint64)
+    again[1:] += ((surface[1:] == surface[:-1]) & (row[1:] == row[:-1])).astype(np.uint64)
+    again[2:] += 2 * ((surface[2:] == surface[:-2]) & (row[2:] == row[:-2])).astype(np.uint64)
     hashes = [surface, mix(shape + np.uint64(1))]
-    for values, salt in ((surface, 3), (shape, 5)):
-        hashes.append(mix(values[pair] * np.uint64(0x9E3779B97F4A7C15) + values[pair + 1] + np.uint64(salt)))
+    for values, salt in ((surface, np.uint64(3)), (shape, np.uint64(5) + again[pair + 1])):
+        hashes.append(mix(values[pair] * np.uint64(0x9E3779B97F4A7C15) + values[pair + 1] + salt))
     place = np.concatenate(hashes) >> np.uint64(64 - bits)
     return np.concatenate((row, row, row[pair], row[pair])), place.astype(np.int64), np.bincount(row, minlength=rows)
 

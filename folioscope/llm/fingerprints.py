@@ -63,15 +63,14 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: list[str], size: int
     """keys and, for each text column, an array of ``bins`` samples under its name. A frame that is
     partitioned by its keys isn't shuffled. Rows whose texts have no words are left out."""
     def terms(i: int) -> Column:
-        w = words(F.col(texts[i]))
-        n = F.size(w)
+        w, n = F.col(f"_words{i}"), F.size(f"_words{i}")
         return F.when(n > 0, F.arrays_zip(
             F.array_repeat(F.lit(i), n).alias("which"), F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))).alias("at"),
             w.alias("w0"), *(F.slice(w, F.lit(k + 1), F.greatest(n, F.lit(1))).alias(f"w{k}")
                              for k in range(1, size)))).otherwise(F.array())
 
     names = [f"w{k}" for k in range(size)]
-    taken = frame.select(*keys, *texts)
+    taken = frame.select(*keys, *(words(F.col(t)).alias(f"_words{i}") for i, t in enumerate(texts)))
     rows = taken.select(*keys, F.inline(F.concat(*(terms(i) for i in range(len(texts))))).alias("which", "at", *names))
     rows = rows.where(F.col(names[-1]).isNotNull() | (F.col("at") == 0))
     counted = rows.select(*keys, "which", F.xxhash64(*names).alias("term")).groupBy(*keys, "term").agg(

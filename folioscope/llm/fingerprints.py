@@ -81,8 +81,8 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: list[str], size: int
     least = sampled.groupBy(*keys, "bin").agg(*(F.min(f"s{i}").alias(f"s{i}") for i in range(len(texts))))
     gathered = least.groupBy(*keys).agg(*(F.collect_list(F.when(
         F.col(f"s{i}").isNotNull(), F.struct("bin", f"s{i}"))).alias(f"s{i}") for i in range(len(texts))))
-    return gathered.select(*keys, *(
-        _filled(F.map_from_entries(f"s{i}"), bins).alias(text) for i, text in enumerate(texts)))
+    mapped = gathered.select(*keys, *(F.map_from_entries(f"s{i}").alias(f"s{i}") for i in range(len(texts))))
+    return mapped.select(*keys, *(_filled(F.col(f"s{i}"), bins).alias(text) for i, text in enumerate(texts)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
@@ -59,6 +59,11 @@ def _names(words: Words) -> np.ndarray:
     return out
 
 
+def _id() -> Column:
+    """Ids that joins can compare: a null one is the least."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
 def signatures(documents: DataFrame, size: int = SIZE, hashes: int = TREES * DEPTH) -> DataFrame:
     """(doc_id, digest, bytes, node, signature): node names the class; signature holds 32-bit minimum
     hashes and is null without words."""
@@ -112,7 +117,7 @@ def prefix_keys(classes: DataFrame, trees: int, depth: int, stride: int) -> Data
         work, "key long, node binary")
 
 
-def blocked(rows: DataFrame, unit: str, blocks: F.Column) -> DataFrame:
+def blocked(rows: DataFrame, unit: str, blocks: Column) -> DataFrame:
     """Deals the members of a unit into blocks and repeats each for every pair of blocks that it is in:
     adds block, i and j. A unit of one block is the pair (0, 0)."""
     dealt = rows.withColumn("_n", F.greatest(F.lit(1), blocks.cast("int"))).withColumn(
@@ -258,7 +263,7 @@ def verified(texts: DataFrame, size: int, threshold: float) -> DataFrame:
                 once = np.append(True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])) if len(values) else []
                 found_rows.append(rows[once])
                 found_values.append(values[once])
-            # rows of another text under the same id, and repeated rows, aren't the class's
+            # repeated rows aren't other classes
             right[1:] &= (nodes[1:] != nodes[:-1]) | (unit[1:] != unit[:-1]) | ~right[:-1]
             all_rows, all_values = np.concatenate(found_rows), np.concatenate(found_values)
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
@@ -290,8 +295,8 @@ def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     signatures(documents, size, trees * depth).write.parquet(f"{folder}/signed")
     signed = spark.read.parquet(f"{folder}/signed")
     signed.groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"),
-        F.min("signature").alias("signature")).write.parquet(f"{folder}/classes")
+        F.min("doc_id").alias("class_id"), F.min(_id()).alias("id"), F.min_by("digest", _id()).alias("digest"),
+        F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.min("signature").alias("signature")).write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
     keys = prefix_keys(classes, trees, shortened(threshold, trees, depth, recall), depth)
     hashes = trees * depth
@@ -303,8 +308,9 @@ def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
         F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("total"))
     blocks = F.greatest(F.ceil(F.col("members") / (2 * BLOCK)), F.ceil(F.col("total") / (2 * BLOCK_BYTES)))
     dealt = blocked(members.join(totals, F.col("root") == F.col("of")).drop("of"), "root", blocks)
-    texts = documents.select(F.col("doc_id").alias("class_id"), F.coalesce("text", F.lit("")).alias("text"))
-    verified(dealt.join(texts, "class_id"), size, threshold).write.parquet(f"{folder}/links")
+    texts = documents.select(
+        _id().alias("id"), F.xxhash64("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    verified(dealt.join(texts, ["id", "digest"]), size, threshold).write.parquet(f"{folder}/links")
     links = spark.read.parquet(f"{folder}/links")
     groups = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -115,6 +115,8 @@ def interleave(unit: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(unit)
     order = np.arange(n)
     common = np.full(n, symbols.shape[1] * 8)
+    if not n:
+        return order, common
     common[np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))] = -1
     for j in range(symbols.shape[1]):
         part = common < symbols.shape[1] * 8  # where an interval begins

@@ -39,7 +39,7 @@ PER_CLASS = 10_000
 ENTRIES = 1_000
 PREFIXES = (4, 5, 6, 7, 8)
 
-_SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$](?=[^\W\d_])|[0134578](?=[^\W\d_]{2})")
+_SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$](?=\w)|(?<=[^\W\d_])[0134578]|[0134578](?=[\d@$]*[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
+from folioscope.sources.scan import in_ignored_directory
 
 KEY = ["root", "rel_path"]
 
@@ -97,8 +98,9 @@ def source_set_hash(files: DataFrame) -> DataFrame:
     """(root, files, source_hash): changes when any file of the root changes, appears or goes.
 
     The hashes of the files are added up in four lanes, so a root of any size is summed by
-    map-side combine and no task ever holds a root's listing.
+    map-side combine and no task ever holds a root's listing. Files in ignored folders don't count.
     """
+    files = files.where(~in_ignored_directory(F.col("rel_path")))
     one = F.sha2(F.concat_ws("\u0000", "rel_path", F.col("size").cast("string"),
                              F.col("modified_at").cast("string")), 256)
     lanes = [F.conv(F.substring("file_hash", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")

@@ -2,37 +2,88 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folioscope.config import ScanRules
 from folioscope.functions import fixed, text as tx
-from folioscope.session import shared_folder
+from folioscope.session import cut_lineage, ship_package
 
 WARNING = "path string, reader_id string, message string, skipped boolean"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(root, path, rel_path, size, modified_at) of every file below a root; contents unread.
+def _open(root: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[len("file:"):]
+    found, path = pa.fs.FileSystem.from_uri(root)
+    return found, path.rstrip("/") or "/"
 
-    Spark's file listing leaves out names that start with a dot or an underscore. The scan rules
-    cover them for listings from elsewhere, which only need the same columns.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    clean_root = root.rstrip("/")
-    return files.select(
-        F.lit(clean_root).alias("root"), path.alias("path"),
-        F.substring(path, F.lit(len(clean_root) + 2), F.length(path)).alias("rel_path"),
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("modified_at"))
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(root, path, rel_path, size, modified_at, is_link) of every file below a root, whatever its name;
+    contents unread.
 
-def read_contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every file below a root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+    Folders are listed in tasks, one level of the tree after the other; a level is stored, so that
+    it is listed once. Links are reported and not followed. The root may be a path or a URI of any
+    file system that Arrow opens; paths are given as the root spells them, without ``file:``.
+    """
+    ship_package(spark)
+    clean_root = re.sub(r"^file:/+", "/", root.rstrip("/"))
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, base = _open(root)
+        local = isinstance(found, pa.fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                where = f"{base}/{folder}" if folder else base
+                infos = found.get_file_info(pa.fs.FileSelector(where, allow_not_found=True))
+                links = [local and os.path.islink(i.path) for i in infos]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f"{folder}/{i.base_name}" if folder else i.base_name for i in infos], pa.string()),
+                    pa.array([i.size for i in infos], pa.int64()),
+                    pa.array([(i.mtime_ns or 0) // 1_000_000 for i in infos], pa.int64()),
+                    pa.array([i.type == pa.fs.FileType.Directory and not link
+                              for i, link in zip(infos, links, strict=True)], pa.bool_()),
+                    pa.array(links, pa.bool_())], ["rel_path", "size", "modified_at", "is_folder", "is_link"])
+
+    schema = "rel_path string, size long, modified_at long, is_folder boolean, is_link boolean"
+    folders = spark.createDataFrame([("",)], "rel_path string")
+    levels: list[DataFrame] = []
+    while True:
+        level = cut_lineage(folders.mapInArrow(children, schema))
+        levels.append(level.where("not is_folder"))
+        below = level.where("is_folder").select("rel_path")
+        if below.isEmpty():
+            break
+        folders = below.repartition(spark.sparkContext.defaultParallelism)
+    return reduce(DataFrame.unionAll, levels).select(
+        F.lit(clean_root).alias("root"), F.concat(F.lit(clean_root + "/"), "rel_path").alias("path"),
+        "rel_path", F.coalesce("size", F.lit(0)).alias("size"), "modified_at", "is_link")
+
+
+def read_contents(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(path, content) of the given files below a root, or of all; only these are opened."""
+    wanted = (list_files(spark, root).where("not is_link") if files is None else files).select(
+        "path", "rel_path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, base = _open(root)
+        for batch in batches:
+            for path, rel_path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with found.open_input_stream(f"{base}/{rel_path}", compression=None) as stream:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), pa.array([stream.read()], pa.binary())], ["path", "content"])
+
+    return wanted.mapInArrow(read, "path string, content binary")
 
 
 def _directories(rel_path: Column) -> Column:
@@ -109,22 +160,17 @@ def classify(files: DataFrame, registry: DataFrame, rules: ScanRules = ScanRules
         .otherwise("ACCEPTED"))
 
 
-def within_budget(accepted: DataFrame, rules: ScanRules = ScanRules(), partitions: int = 64,
-                  single_task_rows: int = 200_000) -> DataFrame:
-    """The longest prefix of the files, in root and path order, that stays within both limits."""
+def within_budget(accepted: DataFrame, rules: ScanRules = ScanRules(), partitions: int = 64) -> DataFrame:
+    """The longest prefix of the files, in root and path order, that stays within both limits.
+
+    Ranges of the order, a total per range, and the totals of the ranges before. The ranges are
+    stored first, since computing them again might cut them differently.
+    """
     order = ["root", "path"]
     size = F.greatest(F.lit(0), F.col("size"))
-    running = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    if rules.max_files <= single_task_rows:
-        # The file limit bounds the prefix, so a distributed top-k finds all rows it can hold.
-        head = accepted.orderBy(*order).limit(rules.max_files)
-        return (head.withColumn("__bytes", F.sum(size).over(running))
-                .where(F.col("__bytes") <= rules.max_total_bytes).drop("__bytes"))
-    # Otherwise: ranges of the order, a total per range, and the totals of the ranges before.
-    # The ranges are stored first, since computing them again might cut them differently.
-    shared_folder(accepted.sparkSession)
-    ranged = (accepted.repartitionByRange(partitions, *order)
-              .withColumn("__range", F.spark_partition_id()).checkpoint())
+    ranged = cut_lineage(accepted.repartitionByRange(partitions, *order)
+                         .withColumn("__range", F.spark_partition_id()))
+    # One row for each of the ranges, whose number is a parameter.
     earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     totals = (ranged.groupBy("__range").agg(F.count("*").alias("__n"), F.sum(size).alias("__b"))
               .withColumn("__n0", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))

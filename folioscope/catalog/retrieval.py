@@ -406,7 +406,7 @@ def evidence_rounds(spark, sf):
     replies = turns.where("role = 'assistant'").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
         .alias("question_id"), F.lit(2).alias("round"),
-        F.to_json(F.struct(F.lit("search").alias("action"), F.array(F.substring("text", 1, 80))
+        F.to_json(F.struct(F.lit("search").alias("action"), F.array("text")
                            .alias("queries"))).alias("raw"), F.lit("stop").alias("finish_reason"))
     return t.rounded(ask.collect_evidence(t.index(spark, sf), turns, replies,
                                           rules=EvidenceRules()), "score")
@@ -525,7 +525,7 @@ _CASES = """
   found AS (SELECT DISTINCT b.item_id, c.file_name FROM benchmark b JOIN chunks c
             ON contains(c.content, b.text)),
   cases AS (SELECT item_id AS case_id, text AS query, CASE WHEN length(text) < 200 THEN 'short'
-      ELSE 'long' END AS category, lower(substr(text, 1, 60)) AS passage,
+      ELSE 'long' END AS category, lower(text) AS passage,
       (item_id % 7) || '.md' AS banned, (item_id % 11) || '.py' AS hard,
       (SELECT count(*) FROM found f WHERE f.item_id = b.item_id) AS expected FROM benchmark b)"""
 

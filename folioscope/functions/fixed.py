@@ -97,8 +97,6 @@ HTML_READER = ("html-main-content", 1, HTML_MAX_BYTES)
 HTML_DROPPED = ("script", "style", "noscript", "svg", "canvas", "nav", "footer", "aside", "form")
 HTML_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 HTML_TEXT_BLOCKS = ("p", "li", "pre", "blockquote", "dt", "dd", "th", "td")
-HTML_MAX_BLOCKS = 20_000
-HTML_MAX_CHARS = 8 * 1024 * 1024
 HTML_DEFAULT_TITLE = "正文"
 HTML_SECTION_PREFIX = "章节："
 HTML_RANGE_LABEL = "段落"

@@ -19,7 +19,7 @@ def fuse(sparse: DataFrame, dense: DataFrame, rules: SearchRules = SearchRules()
             .unionByName(dense.select("query_id", "chunk_id", "rank", F.lit(0.0).alias("bm25"),
                                       F.col("score").alias("dense"), F.lit(1).alias("branch"))))
     # Insertion order, which settles ties: sparse hits first, then dense-only hits.
-    order = F.col("branch") * F.lit(1_000_000) + F.col("rank")
+    order = F.struct("branch", "rank")
     fused = both.groupBy("query_id", "chunk_id").agg(
         F.max("bm25").alias("bm25"), F.max("dense").alias("dense"),
         F.round(F.sum(scores.reciprocal_rank(F.col("rank"), rules.rrf_k)), 12).alias("rrf"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import ordered
-
 # What an event leads to and from which states it may happen.
 TRANSITIONS = (
     ("begin", "BUILDING", ("EMPTY", "READY", "DIRTY", "FAILED", "INCOMPATIBLE")),
@@ -38,14 +38,47 @@ def legal_events(events: DataFrame) -> DataFrame:
     return events.join(F.broadcast(allowed), ["event", "from_status"])
 
 
-def with_preceding_status(events: DataFrame) -> DataFrame:
-    """Adds the status the previous event of the base asked for; EMPTY at the start."""
-    spark = events.sparkSession
-    targets = spark.createDataFrame([(n, t) for n, t, _ in TRANSITIONS],
-                                    "event string, target string")
-    named = events.join(F.broadcast(targets), "event")
-    return ordered.carried_forward(named, ["base_id"], "seq", F.col("target"), "before").withColumn(
-        "from_status", F.coalesce("before", F.lit("EMPTY"))).drop("before")
+STATES = ("EMPTY", "READY", "DIRTY", "BUILDING", "FAILED", "INCOMPATIBLE")
+
+
+def with_preceding_status(events: DataFrame, width: int = 65_536) -> DataFrame:
+    """Adds the status that a base has before each of its events; EMPTY at the start. An event that this
+    status doesn't allow leaves it as it is.
+
+    An event is a map from the six states to six states. Maps are composed inside buckets of ``seq``,
+    one carry per bucket tells where the next begins, and only then states are looked up: a base with
+    very many events is never one task.
+    """
+    step = {name: np.array([STATES.index(target) if s in sources else i for i, s in enumerate(STATES)])
+            for name, target, sources in TRANSITIONS}
+    known = events.where(F.col("event").isin(*step)).withColumn(
+        "__bucket", F.floor(F.col("seq") / F.lit(width)).cast("long"))
+    base, seq = (events.schema[c].dataType.simpleString() for c in ("base_id", "seq"))
+
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        reached, before, after = np.arange(len(STATES)), [], []
+        for name in rows["event"]:
+            before.append(reached.tolist())
+            reached = step[name][reached]
+            after.append(reached.tolist())
+        return rows.assign(before=before, after=after)[["base_id", "__bucket", "seq", "before", "after"]]
+
+    maps = known.select("base_id", "__bucket", "seq", "event").groupBy("base_id", "__bucket").applyInPandas(
+        compose, f"base_id {base}, __bucket long, seq {seq}, before array<int>, after array<int>")
+    buckets = maps.groupBy("base_id", "__bucket").agg(F.max_by("after", "seq").alias("through")).groupBy(
+        "base_id").agg(F.array_sort(F.collect_list(F.struct("__bucket", "through"))).alias("steps"))
+    walked = F.aggregate(
+        "steps", F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<bucket:bigint,start:int>>").alias("out")),
+        lambda acc, x: F.struct(
+            F.get(x["through"], acc["state"]).alias("state"), F.concat(acc["out"], F.array(F.struct(
+                x["__bucket"].alias("bucket"), acc["state"].alias("start")))).alias("out")),
+        lambda acc: acc["out"])
+    starts = buckets.select("base_id", F.inline(walked)).withColumnRenamed("bucket", "__bucket")
+    states = F.array(*map(F.lit, STATES))
+    found = maps.join(starts, ["base_id", "__bucket"]).select(
+        "base_id", "seq", F.get(states, F.get("before", F.col("start"))).alias("from_status"))
+    return known.drop("__bucket").join(found, ["base_id", "seq"])
 
 
 def allocate_revisions(bases: DataFrame, requests: DataFrame) -> DataFrame:

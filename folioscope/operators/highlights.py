@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -13,43 +12,34 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import dense
 
-_PARAGRAPH = re.compile(r"\S.*?(?=\r?\n\s*\r?\n|\Z)", re.S)
-_SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|[。！？]+|\n|$)", re.S)
-_LINE = re.compile(r"[^\r\n]+")
+_PARTS = (
+    re.compile(r"\S.*?(?=\r?\n\s*\r?\n|\Z)", re.S),  # paragraphs
+    re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|[。！？]+|\n|\Z)", re.S))  # sentences of a paragraph
+_LINE = re.compile(r"[^\r\n]*[^\r\n\s][^\r\n]*")
+#: Characters of a span; lines of a window, and lines from one window to the next.
+SHORTEST, LONGEST, WINDOW, STRIDE = 8, 700, 4, 2
 
 
-def candidate_spans(content: str) -> list[tuple[int, int]]:
-    """Paragraphs, their sentences, lines, and windows of four lines, each once."""
-    spans: list[tuple[int, int]] = []
-    seen: set[tuple[int, int]] = set()
+def _spans(content: str) -> Iterator[tuple[int, int]]:
+    paragraph, sentence = _PARTS
+    for whole in paragraph.finditer(content):
+        yield whole.span()
+        yield from (m.span() for m in sentence.finditer(content, *whole.span()))
+    lines = [m.span() for m in _LINE.finditer(content)]
+    yield from lines
+    for window in (lines[i:i + WINDOW] for i in range(0, len(lines) - 1, STRIDE)):
+        yield window[0][0], window[-1][1]
 
-    def add(start: int, end: int) -> None:
-        while start < end and content[start].isspace():
-            start += 1
-        while end > start and content[end - 1].isspace():
-            end -= 1
-        if 8 <= end - start <= 700 and (start, end) not in seen:
-            seen.add((start, end))
-            spans.append((start, end))
 
-    for paragraph in _PARAGRAPH.finditer(content):
-        if len(spans) >= 80:
-            break
-        add(*paragraph.span())
-        for sentence in _SENTENCE.finditer(paragraph.group()):
-            add(paragraph.start() + sentence.start(), paragraph.start() + sentence.end())
-    lines = [m.span() for m in _LINE.finditer(content) if m.group().strip()][:120]
-    for line in lines:
-        add(*line)
-    for i in range(0, len(lines), 2):
-        if len(spans) >= 120:
-            break
-        last = min(len(lines) - 1, i + 3)
-        if last > i:
-            add(lines[i][0], lines[last][1])
-    if not spans and content.strip():
-        add(0, len(content))
-    return spans
+def candidate_spans(content: str) -> list[tuple[int, int]]:
+    """Paragraphs, their sentences, lines, and windows of lines of the whole content, each once and
+    without space around; the whole content if none has a fitting length."""
+    inner = [(a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip()))
+             for a, b in _spans(content) for t in [content[a:b]]]
+    fitting = dict.fromkeys(s for s in inner if SHORTEST <= s[1] - s[0] <= LONGEST)
+    text = content.strip()
+    whole = content.find(text)
+    return list(fitting) or ([(whole, whole + len(text))] if SHORTEST <= len(text) <= LONGEST else [])
 
 
 def highlights(hits: DataFrame, query_vectors: DataFrame, limit: int = 3,
@@ -73,15 +63,15 @@ def highlights(hits: DataFrame, query_vectors: DataFrame, limit: int = 3,
                 norms = np.linalg.norm(vectors, axis=1) * np.linalg.norm(query)
                 similarity = np.maximum(0.0, np.divide(
                     vectors @ query, norms, out=np.zeros(len(spans)), where=norms > 0))
-                ranking = [s - min(0.055, math.log1p((b - a) / 90.0) * 0.018)
-                           for s, (a, b) in zip(similarity, spans)]
-                chosen: list[tuple[int, int, float]] = []
-                for i in sorted(range(len(spans)), key=lambda i: -ranking[i]):
-                    a, b = spans[i]
-                    if similarity[i] >= 0.18 and all(b <= x or a >= y for x, y, _ in chosen):
-                        chosen.append((a, b, float(similarity[i])))
-                        if len(chosen) == limit:
-                            break
+                start, end = np.array(spans).T
+                rank = similarity - np.minimum(0.055, np.log1p((end - start) / 90.0) * 0.018)
+                left = np.flatnonzero(similarity >= 0.18)
+                left = left[np.argsort(-rank[left], kind="stable")]
+                chosen = []
+                while len(left) and len(chosen) < limit:
+                    best = left[0]
+                    chosen.append((int(start[best]), int(end[best]), float(similarity[best])))
+                    left = left[(end[left] <= start[best]) | (start[left] >= end[best])]
                 rows += [(hit.query_id, hit.chunk_id, *c) for c in sorted(chosen)]
             yield pd.DataFrame(rows, columns=columns)
 

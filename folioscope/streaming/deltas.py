@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,14 +15,20 @@ from folioscope.functions import fixed
 _FACTOR_STATE = "factor double, observations long"
 
 
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """What a micro-batch has of a key, by ``seq``: frames come in any order."""
+    return pd.concat([f[columns] for f in frames]).sort_values("seq", kind="stable")
+
+
 def _learn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+    """One step is f -> 0.7 f + 0.3 r; all steps of a micro-batch are one weighted sum."""
     factor, seen = state.get if state.exists else (1.0, 0)
-    for frame in frames:
-        for row in frame.sort_values("seq").itertuples():
-            if row.raw_estimate >= 50 and row.actual_tokens > 0:
-                ratio = min(4.0, max(0.25, row.actual_tokens / row.raw_estimate))
-                factor = min(4.0, max(0.25, factor * 0.7 + ratio * 0.3))
-                seen += 1
+    usable = (f[(f["raw_estimate"] >= 50) & (f["actual_tokens"] > 0)] for f in frames)
+    reports = _in_order(usable, ["seq", "raw_estimate", "actual_tokens"])
+    ratio = np.clip(reports["actual_tokens"] / reports["raw_estimate"], 0.25, 4.0).to_numpy(float)
+    age = np.arange(len(ratio) - 1, -1, -1)
+    factor = factor * 0.7 ** len(ratio) + float((0.3 * ratio * 0.7 ** age).sum())
+    seen += len(ratio)
     state.update((factor, seen))
     yield pd.DataFrame([(key[0], factor, seen)], columns=["model", "factor", "observations"])
 
@@ -33,33 +41,30 @@ def running_calibration(observations: DataFrame) -> DataFrame:
         GroupStateTimeout.NoTimeout)
 
 
+def _begun(tag: str) -> re.Pattern:
+    """The beginning of a tag at the end of a text, the longest first."""
+    return re.compile("|".join(re.escape(tag[:n]) + r"\Z" for n in range(len(tag) - 1, 0, -1)))
+
+
+_NEXT = {True: fixed.THINK_CLOSE, False: fixed.THINK_OPEN}
+_HELD = {inside: _begun(tag) for inside, tag in _NEXT.items()}
+
+
 def feed(pending: str, inside: bool, started: bool, chunk: str, end: bool):
-    """Adds a chunk to what is held back; returns the new state and the (is_reasoning, text)
-    pieces that are certain now. A tag may be split over chunks."""
-    pending += chunk
-    pieces: list[tuple[bool, str]] = []
-
-    def emit(text: str) -> None:
-        nonlocal started
-        if text:
-            started = started or (not inside and bool(text.strip()))
-            pieces.append((inside, text))
-
-    while pending:
-        tag = fixed.THINK_CLOSE if inside else fixed.THINK_OPEN
-        at = pending.find(tag)
-        if at >= 0 and (inside or (not started and not pending[:at].strip())):
-            emit(pending[:at])
-            pending, inside = pending[at + len(tag):], not inside
-            continue
-        held = 0
-        if not end:
-            held = next((n for n in range(min(len(pending), len(tag) - 1), 0, -1)
-                         if pending.endswith(tag[:n])), 0)
-        emit(pending[:len(pending) - held])
-        pending = pending[len(pending) - held:]
-        break
-    return pending, inside, started, pieces
+    """Adds a chunk to what is held back; returns the new state and the (is_reasoning, text) pieces
+    that are certain now. A tag may be split over chunks; it opens only before any answer text."""
+    text, pieces = pending + chunk, []
+    while True:
+        before, tag, after = text.partition(_NEXT[inside])
+        if not tag or (not inside and (started or before.strip())):
+            break
+        pieces.append((inside, before))
+        text, inside = after, not inside
+    held = None if end else _HELD[inside].search(text)
+    certain = text[:held.start()] if held else text
+    pieces = [p for p in [*pieces, (inside, certain)] if p[1]]
+    started = started or (not inside and bool(certain.strip()))
+    return text[len(certain):], inside, started, pieces
 
 
 _DELTA_STATE = "pending string, inside boolean, started boolean, at long"
@@ -68,20 +73,18 @@ _DELTA = "stream_id string, seq long, stage string, text string"
 
 def _split(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
     pending, inside, started, at = state.get if state.exists else ("", False, False, 0)
-    for frame in frames:
-        rows = []
-        for delta in frame.sort_values("seq").itertuples():
-            if delta.stage == "PLANNING":
-                rows.append((key[0], at, "PLANNING", delta.text))
-                at += 1
-                continue
-            pending, inside, started, pieces = feed(pending, inside, started, delta.text or "",
-                                                    bool(delta.is_last))
-            for reasoning, text in pieces:
-                rows.append((key[0], at, "ANSWER_THINKING" if reasoning else "ANSWER", text))
-                at += 1
-        if rows:
-            yield pd.DataFrame(rows, columns=["stream_id", "seq", "stage", "text"])
+    rows = []
+    for delta in _in_order(frames, ["seq", "stage", "text", "is_last"]).itertuples():
+        pieces = [(None, delta.text)]
+        if delta.stage != "PLANNING":
+            pending, inside, started, pieces = feed(
+                pending, inside, started, delta.text or "", bool(delta.is_last))
+        for reasoning, text in pieces:
+            stage = {None: "PLANNING", True: "ANSWER_THINKING", False: "ANSWER"}[reasoning]
+            rows.append((key[0], at, stage, text))
+            at += 1
+    if rows:
+        yield pd.DataFrame(rows, columns=["stream_id", "seq", "stage", "text"])
     state.update((pending, inside, started, at))
 
 

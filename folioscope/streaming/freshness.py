@@ -75,10 +75,9 @@ def step(state: tuple, event) -> tuple:
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
     current = state.get if state.exists else (-1, "STOPPED", 0, 0, False)
     current = tuple(current)
-    # Events of one base arrive in batches; a batch is put in order, one frame at a time is held.
-    for frame in frames:
-        for event in frame.sort_values("seq").itertuples():
-            current = step(current, event)
+    # Frames of a micro-batch come in any order.
+    for event in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+        current = step(current, event)
     state.update(current)
     revision, name, generation, reconciliations, _ = current
     yield pd.DataFrame([(key[0], revision, name, generation, reconciliations)],

@@ -262,3 +262,82 @@ def test_sql_helpers(spark):
     row = spark.sql("SELECT chunk_tokens(''), prompt_tokens(''), chunk_tokens('连接db'),"
                     " jaccard_terms('red blue', 'Blue green'), normalize_text('ＡB')").first()
     assert list(row)[:3] == [1, 0, 3] and row[3] == pytest.approx(1 / 3) and row[4] == "ab"
+
+
+@pytest.mark.parametrize("scheme", ["", "file://", "file:"])
+def test_listing_has_every_name_and_any_root(spark, tmp_path, scheme):
+    for rel in ("__init__.py", ".env", ".ssh/key", "_x/_y/z.md", "sub/a b.md", "empty"):
+        path = tmp_path / rel
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("" if rel == "empty" else f"text of {rel}")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "sub")
+    root = f"{scheme}{tmp_path}/"
+    files = scan.list_files(spark, root)
+    got = {r.rel_path: r for r in files.collect()}
+    assert set(got) == {"__init__.py", ".env", ".ssh/key", "_x/_y/z.md", "sub/a b.md", "empty", "link"}
+    assert {r.path for r in got.values()} == {f"{tmp_path}/{rel}" for rel in got}
+    assert got["link"].is_link and got["empty"].size == 0 and got[".env"].size == len("text of .env")
+    verdicts = {r.rel_path: r.verdict for r in scan.classify(files, scan.reader_registry(spark)).collect()}
+    assert verdicts[".env"] == "SENSITIVE" and verdicts[".ssh/key"] == "SENSITIVE_DIRECTORY" and verdicts["link"] == "LINK"
+    texts = {r.path: bytes(r.content).decode() for r in scan.read_contents(spark, root).collect()}
+    assert texts == {f"{tmp_path}/{rel}": "" if rel == "empty" else f"text of {rel}" for rel in got if rel != "link"}
+    one = scan.read_contents(spark, root, files.where("rel_path = '.env'")).collect()
+    assert [r.path for r in one] == [f"{tmp_path}/.env"]
+
+
+def test_percentiles_leave_nulls_out(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in range(1, 11)] + [("a", None)] * 10 + [("b", None)], "k string, v double")
+    got = ordered.nearest_rank_percentiles(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()
+    assert [tuple(r) for r in got] == [("a", 5.0, 10.0)]
+
+
+def test_refused_events_leave_the_status(spark):
+    from folioscope.operators import lifecycle
+
+    log = [(1, 1, "publish"), (1, 2, "change"), (1, 5, "begin"), (1, 9, "change"), (1, 12, "publish"), (1, 13, "begin"),
+           (1, 20, "publish"), (2, 3, "begin"), (2, 4, "fail"), (2, 30, "begin"), (3, 1, "publish")]
+    rows = spark.createDataFrame(log, "base_id int, seq int, event string").repartition(4)
+    want, status = [], {}
+    for base, seq, event in log:
+        target, sources = {n: (t, s) for n, t, s in lifecycle.TRANSITIONS}[event]
+        before = status.get(base, "EMPTY")
+        if before in sources:
+            want.append((base, seq, before, target))
+            status[base] = target
+    for width in (1, 4, 65_536):
+        got = lifecycle.legal_events(lifecycle.with_preceding_status(rows, width)).select(
+            "base_id", "seq", "from_status", "to_status")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_frames_in_any_order_give_one_result():
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    import pandas as pd
+
+    reports = pd.DataFrame({"seq": range(40), "raw_estimate": [50 + i for i in range(40)],
+                            "actual_tokens": [(i * 37) % 200 for i in range(40)]})
+    factors = set()
+    for order in (range(40), reversed(range(40)), random.sample(range(40), 40)):
+        mixed = reports.iloc[list(order)]
+        out = list(deltas._learn(("m",), iter([mixed[:7], mixed[7:30], mixed[30:]]), State()))
+        factors.add((round(out[0]["factor"][0], 12), out[0]["observations"][0]))
+    plain = 1.0
+    for r in reports[reports["actual_tokens"] > 0].itertuples():
+        plain = 0.7 * plain + 0.3 * min(4.0, max(0.25, r.actual_tokens / r.raw_estimate))
+    assert factors == {(round(plain, 12), int((reports["actual_tokens"] > 0).sum()))}
+
+
+def test_a_changed_file_in_an_ignored_folder_does_not_count(spark):
+    def hashed(*rows):
+        files = spark.createDataFrame([("/r", *r) for r in rows], "root string, rel_path string, size long, modified_at long")
+        return indexing.source_set_hash(files).first()
+
+    kept = ("a.md", 3, 1)
+    assert hashed(kept) == hashed(kept, ("x/node_modules/b.js", 5, 2))
+    assert hashed(kept) != hashed(kept, ("x/b.js", 5, 2))

@@ -48,6 +48,8 @@ class SearchRules:
     # Query vectors are shipped to the tasks only up to this many bytes; beyond it the vectors
     # are joined block by block.
     max_shipped_vector_bytes: int = 32 * 1024 * 1024
+    # Bytes of one product of query vectors and a block of chunk vectors.
+    vector_slab_bytes: int = 32 * 1024 * 1024
     # Rows of one vector block in the joined form.
     vector_block_rows: int = 20_000
 

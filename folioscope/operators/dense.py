@@ -34,10 +34,16 @@ def _best_of_block(query_ids: np.ndarray, query_matrix: np.ndarray, block: pd.Da
     dimension = query_matrix.shape[1]
     fits = block[block["embedding"].map(len) == dimension]
     if len(fits):
-        similarity = np.round(query_matrix @ _unit_rows(fits["embedding"]).T, rules.score_digits)
+        chunks = _unit_rows(fits["embedding"]).T
         limit = rules.branch_limit
+        # Queries are multiplied in slabs, so that a product has a bounded size.
+        slab = max(1, rules.vector_slab_bytes // (8 * len(fits)))
+        similarity = np.zeros((0, len(fits)))
         for row, query_id in enumerate(query_ids):
-            line = similarity[row]
+            if row % slab == 0:
+                similarity = query_matrix[row:row + slab] @ chunks
+                np.round(similarity, rules.score_digits, out=similarity)
+            line = similarity[row % slab]
             floor = rules.dense_threshold
             if len(line) > limit:
                 floor = max(floor, np.partition(line, len(line) - limit)[len(line) - limit])

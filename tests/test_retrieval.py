@@ -53,11 +53,13 @@ def test_dense_paths_agree_and_match_numpy(spark):
     asked = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in range(6)],
                                   "query_id int, embedding array<float>")
     shipped = dense.dense_top(corpus, asked, SearchRules())
+    slabs = dense.dense_top(corpus, asked, SearchRules(vector_slab_bytes=8 * 60 * 2))
     joined = dense.dense_top(corpus, asked, SearchRules(max_shipped_vector_bytes=0,
                                                         vector_block_rows=64))
     key = ["query_id", "rank"]
     got = [tuple(r) for r in shipped.orderBy(*key).collect()]
     assert got == [tuple(r) for r in joined.orderBy(*key).collect()]
+    assert got == [tuple(r) for r in slabs.orderBy(*key).collect()]
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     want = []
     for q in range(6):

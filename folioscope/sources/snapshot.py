@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +29,26 @@ def _path(jvm, text: str):
 def write_revision(spark: SparkSession, folder: str, revision: int,
                    tables: dict[str, DataFrame], manifest: DataFrame) -> str:
     """Writes all tables aside and renames the folder when everything is there. A failed write
-    leaves nothing behind. Renames are atomic on HDFS and local disks; an object store needs a
-    committer of its own."""
+    leaves nothing behind, and an earlier build of the revision is deleted only once the new one has
+    its place. Renames are atomic on HDFS and local disks; an object store needs a committer of its
+    own."""
     fs, jvm = _fs(spark, folder)
     staging = f"{folder}/_staging/{uuid.uuid4()}"
-    final = f"{folder}/revision={revision}"
+    final, aside = f"{folder}/revision={revision}", f"{folder}/_staging/{uuid.uuid4()}"
     try:
         for name, table in tables.items():
             table.write.mode("errorifexists").parquet(f"{staging}/{name}")
         manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staging}/manifest")
-        fs.delete(_path(jvm, final), True)
+        earlier = fs.exists(_path(jvm, final))
+        if earlier and not fs.rename(_path(jvm, final), _path(jvm, aside)):
+            raise OSError(f"could not move {final} aside")
         if not fs.rename(_path(jvm, staging), _path(jvm, final)):
+            if earlier:
+                fs.rename(_path(jvm, aside), _path(jvm, final))
             raise OSError(f"could not move the snapshot to {final}")
     finally:
         fs.delete(_path(jvm, staging), True)
+    fs.delete(_path(jvm, aside), True)
     return final
 
 
@@ -57,19 +64,26 @@ def load_revision(spark: SparkSession, folder: str, revision: int,
     """The tables of a revision, or None when it is missing or unreadable. A snapshot of an older
     format comes without its manifest and so counts as incompatible."""
     base = f"{folder}/revision={revision}"
-    try:
-        tables = {name: spark.read.parquet(f"{base}/{name}") for name in names}
-    except Exception:
+    tables = {name: _table(spark, f"{base}/{name}") for name in names}
+    if any(table is None for table in tables.values()):
         return None
-    try:
-        manifest = spark.read.parquet(f"{base}/manifest")
-        if manifest.where(F.col("format_version") == fixed.INDEX_FORMAT_VERSION).limit(1).count():
-            tables["manifest"] = manifest
-    except Exception:
-        pass
+    manifest = _table(spark, f"{base}/manifest")
+    if manifest is not None and not manifest.where(
+            F.col("format_version") == fixed.INDEX_FORMAT_VERSION).isEmpty():
+        tables["manifest"] = manifest
     return tables
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """None where there is no table or no Parquet schema; any other fault is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def published_revision(spark: SparkSession, folder: str) -> int | None:
     fs, jvm = _fs(spark, folder)
     if not fs.exists(_path(jvm, f"{folder}/{POINTER}")):
@@ -81,8 +95,8 @@ def publish_revision(spark: SparkSession, folder: str, revision: int, expected_h
                      current_hash: str) -> bool:
     """Points readers to a revision if the sources are still what it was built from.
 
-    One writer wins a revision: the claim file is created exclusively. A stale build deletes its
-    own revision.
+    The pointer is replaced by one atomic rename, so readers always see a revision. A stale build
+    deletes its own revision.
     """
     fs, jvm = _fs(spark, folder)
     published = published_revision(spark, folder)
@@ -91,17 +105,17 @@ def publish_revision(spark: SparkSession, folder: str, revision: int, expected_h
     if expected_hash != current_hash or (published or 0) > revision:
         fs.delete(_path(jvm, f"{folder}/revision={revision}"), True)
         return False
-    try:
-        fs.create(_path(jvm, f"{folder}/_claims/{revision}"), False).close()
-    except Exception:
-        return False
-    aside = _path(jvm, f"{folder}/_claims/{uuid.uuid4()}.json")
+    aside = _path(jvm, f"{folder}/_staging/{uuid.uuid4()}.json")
     out = fs.create(aside, False)
     out.write(bytearray(json.dumps({"revision": revision}).encode()))
     out.close()
-    pointer = _path(jvm, f"{folder}/{POINTER}")
-    fs.delete(pointer, False)
-    return bool(fs.rename(aside, pointer))
+    options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(aside), fs.makeQualified(_path(jvm, f"{folder}/{POINTER}")), overwrite)
+    return True
 
 
 def retire(spark: SparkSession, folder: str) -> list[str]:

@@ -13,15 +13,26 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
                 rules: ChunkRules = ChunkRules()) -> None:
     """Replaces the chunks and postings of the documents a batch touches.
 
-    ``batch``: document rows with seq and deleted. The new state gets its own folder, so a batch
+    ``batch``: document rows with seq and deleted. The seq of each document is kept, of deleted ones too,
+    so a row that comes late doesn't replace a newer one. The new state gets its own folder, so a batch
     that is run again after a failure starts from the same previous state.
     """
     latest = (batch.groupBy("document_id").agg(F.max_by(
         F.struct(*[c for c in batch.columns if c != "document_id"]), "seq").alias("row"))
         .select("document_id", "row.*"))
+    target = f"{folder}/state={number}"
+    if number > 0:
+        versions = spark.read.parquet(f"{folder}/state={number - 1}/versions")
+        known = versions.select("document_id", F.col("seq").alias("__known"))
+        latest = latest.join(known, "document_id", "left").where(
+            F.col("__known").isNull() | (F.col("seq") > F.col("__known"))).drop("__known")
+        versions = versions.join(latest.select("document_id"), "document_id", "left_anti").unionByName(
+            latest.select("document_id", "seq"))
+    else:
+        versions = latest.select("document_id", "seq")
+    versions.write.mode("overwrite").parquet(f"{target}/versions")
     chunks = chunking.chunk_sections(
         chunking.text_sections(latest.where(~F.col("deleted"))), rules)
-    target = f"{folder}/state={number}"
     if number > 0:
         before = spark.read.parquet(f"{folder}/state={number - 1}/chunks").join(
             latest.select("document_id"), "document_id", "left_anti")

@@ -10,6 +10,7 @@ from folioscope.functions import fixed
 from folioscope.operators import chunking, conversations, indexing, lifecycle
 from folioscope.session import fresh_folder, spread
 from folioscope.sources import decode, html, scan
+from folioscope.plans import rebuild
 from folioscope.streaming import deltas, diagnostics, freshness, incremental
 
 QUERIES: dict = {}
@@ -315,6 +316,29 @@ def source_set_hash(spark, sf):
     return indexing.source_set_hash(t.files(spark, sf))
 
 
+@query("rebuild_changes", f"""WITH {_FILES}, v AS (SELECT root, rel_path, doc_id FROM verdicts
+    WHERE verdict = 'ACCEPTED')
+  SELECT root, rel_path, CASE WHEN doc_id % 10 = 0 THEN 'ADDED' WHEN doc_id % 10 = 1 THEN 'DELETED'
+    WHEN doc_id % 9 = 0 THEN 'MODIFIED' ELSE 'REUSED' END AS change, true AS published FROM v""")
+def rebuild_changes(spark, sf):
+    """Two builds of all files; between them files come, go and change."""
+    folder = fresh_folder(spark, "rebuild")
+    everything = t.files(spark, sf)
+    touched = F.col("doc_id") % 9 == 0
+    later = everything.where("doc_id % 10 <> 1").withColumns({
+        "text": F.when(touched, F.concat("text", F.lit(" more"))).otherwise(F.col("text")),
+        "modified_at": F.when(touched, F.col("modified_at") + 1).otherwise(F.col("modified_at"))})
+    done = None
+    for revision, files in enumerate((everything.where("doc_id % 10 <> 0"), later), 1):
+        def read(wanted, files=files):
+            return files.join(wanted.select("path"), "path", "left_semi").select(
+                "path", F.encode("text", "UTF-8").alias("content"))
+
+        done = rebuild.rebuild(spark, lambda files=files: files.drop("text", "doc_id"), read, folder, "kb", revision,
+                               scan_rules=ScanRules(max_files=10**9, max_total_bytes=10**18))
+    return done.plan.withColumn("published", F.lit(done.published))
+
+
 @query("coverage_report", f"""WITH {_FILES}, e AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN
     modified_at + 1 ELSE modified_at END AS e_modified FROM verdicts
     WHERE verdict = 'ACCEPTED' AND doc_id % 3 <> 0),

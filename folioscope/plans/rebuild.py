@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules, ScanRules
-from folioscope.functions import fixed
+from folioscope.functions import fixed, text as tx
 from folioscope.operators import chunking, dense, indexing
 from folioscope.plans.index import Index, index_chunks
 from folioscope.session import cut_lineage
-from folioscope.sources import decode, scan, snapshot
+from folioscope.sources import decode, html, scan, snapshot
 
 FACTS = ["size", "modified_at", "content_hash", "reader_id", "reader_version"]
 
@@ -61,8 +61,8 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
         kept, again = indexing.split_reusable(plan, known.select(*indexing.KEY, "chunk_ids"), earlier["chunks"])
     wanted = files.join(again, indexing.KEY, "left_semi")
     contents = wanted.join(read(wanted), "path")
-    documents = decode.text_documents(contents)
-    chunks = chunking.chunk_sections(chunking.text_sections(documents), chunk_rules)
+    sections, unreadable = _sections(contents)
+    chunks = chunking.chunk_sections(sections, chunk_rules)
     if embedder is not None:
         chunks = chunks.join(dense.embed_new(chunks, None, embedder), "chunk_id")
     else:
@@ -82,11 +82,26 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
     current = _state(indexing.source_set_hash(scan.classify(
         listing(), scan.reader_registry(spark), scan_rules).where("verdict = 'ACCEPTED'")))
     published = snapshot.publish_revision(spark, folder, revision, expected, current)
-    unreadable = contents.join(documents.select("path"), "path", "left_anti").select(
-        "path", "reader_id", F.lit("no readable text").alias("message"), F.lit(True).alias("skipped"))
     return Rebuilt(revision, published, plan, unreadable)
 
 
+def _sections(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections of the files by their readers, and warnings of the files that gave none."""
+    paged = contents.where(F.col("reader_id") == fixed.HTML_READER[0])
+    plain = contents.where(F.col("reader_id") != fixed.HTML_READER[0])
+    documents = decode.text_documents(plain)
+    silent = plain.join(documents.select("path"), "path", "left_anti").select(
+        "path", "reader_id", F.lit("no readable text").alias("message"), F.lit(True).alias("skipped"))
+    units, failed = html.split_failures(html.extract_pages(
+        paged.select("path", decode.decoded(F.col("content")).alias("html")), "path"), "path")
+    named = paged.select(
+        decode.document_id(F.col("root"), F.col("rel_path")).alias("document_id"), "path", "root",
+        tx.file_name(F.col("rel_path")).alias("file_name"), "modified_at").withColumn(
+            "extension", tx.file_extension(F.col("file_name"), "html"))
+    return chunking.text_sections(documents).unionByName(
+        html.html_sections(units, named, "path")), silent.unionByName(failed)
+
+
 def _state(hashes: DataFrame) -> str:
     """One hash for all roots. Roots are configured by hand, so they are few."""
     row = hashes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("source_hash")), ","), 256)).first()

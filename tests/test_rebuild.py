@@ -15,6 +15,8 @@ def test_rebuilds_open_only_what_changed(spark, tmp_path):
     for name in ("a.md", "b.md", "sub/c.py", "__init__.py"):
         (source / name).write_text(f"{name}\n{LINES}\n")
     (source / "bin.txt").write_bytes(b"\0\1\2 no text")
+    (source / "p.html").write_text(f"<title>Page</title><main><h2>Head</h2><p>{LINES}</p></main>")
+    (source / "q.html").write_text("<div></div>")
     (source / ".env").write_text("SECRET=1")
     opened = []
 
@@ -32,26 +34,33 @@ def test_rebuilds_open_only_what_changed(spark, tmp_path):
 
     def full():
         files = scan.classify(scan.list_files(spark, str(source)), scan.reader_registry(spark)).where("verdict = 'ACCEPTED'")
-        documents = decode.text_documents(files.join(scan.read_contents(spark, str(source), files), "path"))
-        return sorted(r.chunk_id for r in build_index(documents, None).chunks.collect())
+        contents = files.join(scan.read_contents(spark, str(source), files), "path")
+        plain = build_index(decode.text_documents(contents.where("rel_path not like '%.html'")), None).chunks
+        return sorted(r.chunk_id for r in plain.collect())
+
+    def plain_stored():
+        return sorted(r.chunk_id for r in rebuild.published_index(spark, target).chunks.where(
+            "extension <> 'html'").collect())
 
     first = build(1)
     assert first.published and {r.rel_path for r in first.plan.collect()} == {
-        "a.md", "b.md", "sub/c.py", "__init__.py", "bin.txt"}
-    assert [r.path for r in first.unreadable.collect()] == [f"{source}/bin.txt"]
-    assert stored() == full() and len(stored()) >= 8
+        "a.md", "b.md", "sub/c.py", "__init__.py", "bin.txt", "p.html", "q.html"}
+    assert {r.path for r in first.unreadable.collect()} == {f"{source}/bin.txt", f"{source}/q.html"}
+    assert plain_stored() == full() and len(stored()) > len(full()) >= 8
 
     (source / "a.md").write_text(f"changed\n{LINES}\nand more of it")
     (source / "b.md").unlink()
     (source / "d.md").write_text(LINES)
     second = build(2)
     assert second.published and {r.rel_path: r.change for r in second.plan.collect()} == {
-        "a.md": "MODIFIED", "b.md": "DELETED", "d.md": "ADDED", "sub/c.py": "REUSED", "__init__.py": "REUSED", "bin.txt": "REUSED"}
-    assert opened[1] == {"a.md", "d.md"} and stored() == full()
+        "a.md": "MODIFIED", "b.md": "DELETED", "d.md": "ADDED", "sub/c.py": "REUSED", "__init__.py": "REUSED", "bin.txt": "REUSED",
+        "p.html": "REUSED", "q.html": "REUSED"}
+    assert opened[1] == {"a.md", "d.md"} and plain_stored() == full()
 
     third = build(3, signature="another model")
-    assert {r.change for r in third.plan.collect()} == {"MODIFIED"} and opened[2] == {"a.md", "d.md", "sub/c.py", "__init__.py", "bin.txt"}
-    assert stored() == full()
+    assert {r.change for r in third.plan.collect()} == {"MODIFIED"} and opened[2] == {"a.md", "d.md", "sub/c.py", "__init__.py", "bin.txt",
+                                                                                        "p.html", "q.html"}
+    assert plain_stored() == full()
     index = rebuild.published_index(spark, target, "hashed:64")
     assert index.chunks.where(F.col("embedding").isNotNull()).count() == 0
     asked = spark.createDataFrame([(1, "retry policy")], "query_id int, text string")

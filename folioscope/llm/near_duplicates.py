@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
+from folioscope.llm.sieve import sieve
+from folioscope.llm.tasks import released
 from folioscope.llm.words import Words, mix, shingles, slices, words_of
 from folioscope.session import fresh_folder
 
 SIZE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9999
 #: Classes of one block; a task compares two blocks at most at once.
-BLOCK, BLOCK_BYTES = 512, 4 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Agreement of signatures below the threshold by so many standard deviations still counts.
 SLACK = 5.0
 
@@ -69,6 +71,7 @@ def signatures(documents: DataFrame, size: int = SIZE, hashes: int = TREES * DEP
     hashes and is null without words."""
     xor, times = _constants(hashes)
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(3)):
@@ -99,6 +102,7 @@ def signatures(documents: DataFrame, size: int = SIZE, hashes: int = TREES * DEP
 def prefix_keys(classes: DataFrame, trees: int, depth: int, stride: int) -> DataFrame:
     """(key, node) for each trie: a hash of the trie's number and the first hashes of its signature."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -199,14 +203,16 @@ def agreeing_forest(unit: np.ndarray, signature: np.ndarray, least: float) -> np
             label = _join(label, same, same + shift)
 
 
-def candidate_edges(keys: DataFrame, classes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): a forest over the classes that share a prefix and agree in their signatures."""
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    rows = keys.join(shared, "key").join(classes.select("node", "signature"), "node")
+def candidate_edges(keys: DataFrame, shared: DataFrame, classes: DataFrame, least: float,
+                    block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest over the classes that share a prefix and agree in their signatures. shared has the
+    prefixes of several classes with their numbers."""
+    rows = sieve(keys, "key", shared, "key").join(shared, "key").join(classes.select("node", "signature"), "node")
     units = blocked(rows, "key", F.ceil(F.col("members") / (2 * block)))
     dealt = units.select("key", "i", "j", "node", "signature").repartition("key", "i", "j") \
         .sortWithinPartitions("key", "i", "j", "node")
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, unit in whole_units(batches, 3):
             # the lowest byte of each hash will do for an estimate
@@ -235,8 +241,12 @@ def exact_links(sizes: np.ndarray, rows: np.ndarray, values: np.ndarray, thresho
         part = np.zeros((n, int(column[hi - 1]) - at + 1), np.float32)
         part[rows[lo:hi], column[lo:hi] - at] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = (common >= threshold * union - 1e-6) & (common > 0)
+    union = np.add.outer(sizes, sizes).astype(np.float32)
+    union -= common
+    union *= np.float32(threshold)
+    union -= np.float32(0.05)  # less than a shingle, more than rounding
+    linked = common >= union
+    linked &= common > 0
     np.fill_diagonal(linked, False)
     return linked
 
@@ -247,6 +257,7 @@ def verified(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     dealt = texts.select("root", "i", "j", "node", "block", "n", "text").repartition("root", "i", "j") \
         .sortWithinPartitions("root", "i", "j", "node")
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, unit in whole_units(batches, 3):
             nodes = np.array(table.column(3).to_pylist(), object)
@@ -274,9 +285,12 @@ def verified(texts: DataFrame, size: int, threshold: float) -> DataFrame:
                 linked &= right[lo:hi, None] & right[None, lo:hi]
                 if pair[lo]:
                     linked &= block[lo:hi, None] != block[None, lo:hi]
-                links[lo:hi] = linked @ weight[lo:hi]
-                x, y = np.nonzero(np.triu(linked))
-                root = _join(root, x + lo, y + lo)
+                for i in range(hi - lo):
+                    others = np.flatnonzero(linked[i])
+                    links[lo + i] = weight[lo:hi][others].sum()
+                    later = others[others > i]
+                    later = later[root[lo + later] != root[lo + i]]
+                    root = _join(root, np.full(len(later), lo + i), lo + later)
             at = np.flatnonzero(right)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes[at], pa.binary()), pa.array(links[at]), pa.array(nodes[root[at]], pa.binary())],
@@ -301,7 +315,9 @@ def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     keys = prefix_keys(classes, trees, shortened(threshold, trees, depth, recall), depth)
     hashes = trees * depth
     least = threshold - SLACK * (threshold * (1 - threshold) / hashes) ** 0.5
-    sets = connected(candidate_edges(keys, classes, least))
+    keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).write.parquet(
+        f"{folder}/shared")
+    sets = connected(candidate_edges(keys, spark.read.parquet(f"{folder}/shared"), classes, least, BLOCK))
     sets.join(classes.drop("signature"), "node").write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     totals = members.groupBy(F.col("root").alias("of")).agg(
@@ -310,7 +326,8 @@ def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     dealt = blocked(members.join(totals, F.col("root") == F.col("of")).drop("of"), "root", blocks)
     texts = documents.select(
         _id().alias("id"), F.xxhash64("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    verified(dealt.join(texts, ["id", "digest"]), size, threshold).write.parquet(f"{folder}/links")
+    sifted = sieve(texts, "digest", members, "digest")
+    verified(dealt.join(sifted, ["id", "digest"]), size, threshold).write.parquet(f"{folder}/links")
     links = spark.read.parquet(f"{folder}/links")
     groups = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))

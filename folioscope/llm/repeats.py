@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.near_duplicates import whole_units
+from folioscope.llm.sieve import marked, sieve
+from folioscope.llm.tasks import released
 from folioscope.llm.words import RangeHash, slices
 from folioscope.session import fresh_folder
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 80
 #: Contexts of one anchor that a task compares; beyond it windows are counted by hash.
 MOST = 20_000
 #: Bytes of text that are taken apart at once; fits a processor's cache.
@@ -80,6 +82,7 @@ def anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """(r, id, digest, n_bytes, anchors) of each row of (id, digest, text); r numbers the rows."""
     kind = pa.list_(pa.struct([("h", pa.int64()), ("context", pa.int64()), ("place", pa.int64())]))
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -174,6 +177,7 @@ def sliced(texts: DataFrame, length: int) -> DataFrame:
     """(h, context, n, members, r, place, left, right): the bytes before and from each wanted anchor on, from
     (text, wanted)."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -205,6 +209,7 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
     dealt = contexts.select("h", "context", "n", "r", "place", "left", "right").repartition("h") \
         .sortWithinPartitions("h", "context")
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, unit in whole_units(batches, 1):
             context = table.column(1).to_numpy()
@@ -231,6 +236,7 @@ def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
     """(r, first, last) for anchors of very many contexts: each window as (anchor, distance, hash), counted
     map-side and across tasks."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -257,8 +263,8 @@ def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
 def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST,
             keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256
-    (of the remaining bytes), rest (the remaining text, without parts of characters; null where nothing
-    was removed)."""
+    (of the remaining bytes), rest (the remaining runs of text as lines, without parts of characters; null
+    where nothing was removed)."""
     spark = documents.sparkSession
     folder = fresh_folder(spark, "repeats")
 
@@ -267,15 +273,20 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
         return spark.read.parquet(f"{folder}/{name}")
 
     keyed = documents.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(
-        F.coalesce("text", F.lit(""))).alias("digest"), "text", *(F.col(k).alias(f"_{k}") for k in keep))
+        F.coalesce("text", F.lit(""))).alias("digest"), "text", *(F.col(k).alias(f"_{k}") for k in keep)).withColumn(
+        "hash", F.xxhash64("digest"))
     rows = store(anchored(keyed, length, gram), "anchored")
     copies = store(rows.groupBy(F.col("digest").alias("of")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("r").alias("first_r")).where(F.col("copies") > 1), "copies")
     one = F.coalesce("copies", F.lit(1)).alias("copies")
-    pool = rows.join(copies, F.col("digest") == F.col("of"), "left").where(
-        F.col("of").isNull() | (F.col("r") == F.col("first_r"))).select("r", one, F.inline("anchors"))
+    told = marked(rows.withColumn("hash", F.xxhash64("digest")), "hash", copies.select(
+        F.xxhash64("of").alias("of_hash")), "of_hash")
+    copied = told.where("maybe").join(copies, F.col("digest") == F.col("of"), "left").where(
+        F.col("of").isNull() | (F.col("r") == F.col("first_r"))).select("r", one, "anchors")
+    pool = copied.unionAll(told.where("not maybe").select("r", F.lit(1).cast("long").alias("copies"), "anchors")).select(
+        "r", "copies", F.inline("anchors"))
     often = store(pool.groupBy("h").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("h"), "often")
-    candidates = store(pool.join(often, "h"), "candidates")
+    candidates = store(sieve(pool, "h", often, "h").join(often, "h"), "candidates")
     contexts = store(candidates.groupBy("h", "context").agg(
         F.sum("copies").alias("n"), F.min("r").alias("r"), F.min_by("place", "r").alias("place")), "contexts")
     mixed = store(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.sum(
@@ -283,8 +294,9 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
         .select("h", "members"), "mixed")
     wanted = contexts.join(mixed, "h").groupBy("r").agg(F.collect_list(F.struct(
         "h", "context", "n", "members", "r", "place")).alias("wanted"))
-    named = rows.select("r", F.col("id").alias("of_id"), F.col("digest").alias("of")).join(wanted, "r").drop("r")
-    texts = keyed.join(named, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("of_id"))).select("text", "wanted")
+    named = store(rows.select("r", F.col("id").alias("of_id"), F.col("digest").alias("of"), F.xxhash64("digest").alias(
+        "of_hash")).join(wanted, "r").drop("r"), "named")
+    texts = sieve(keyed, "hash", named, "of_hash").join(named, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("of_id"))).select("text", "wanted")
     cut = store(sliced(texts, length), "contexts_cut")
     partly = compared(cut.where(F.col("members") <= most), length).unionAll(
         counted_windows(cut.where(F.col("members") > most), length))
@@ -295,8 +307,12 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     by_text = rows.select("r", F.col("digest").alias("of")).join(spans, "r").select("of", F.lit(1).cast("long").alias("copies"), "spans")
     decided = store(by_text.join(copies.select("of"), "of", "left_anti").unionAll(copies.select(
         "of", "copies", F.lit(None).cast("array<struct<first:long,last:long>>").alias("spans"))), "decided")
-    final = keyed.join(decided, F.col("digest") == F.col("of"), "left")
-    return removed(final.select("doc_id", "text", "copies", "spans", *(f"_{k}" for k in keep)), length, keep)
+    split = marked(keyed, "hash", decided.select(F.xxhash64("of").alias("of_hash")), "of_hash")
+    columns = ["doc_id", "text", "copies", "spans", *(f"_{k}" for k in keep)]
+    # texts that lose nothing stay where they are
+    whole = split.where("not maybe").select("*", *(F.lit(None).cast(decided.schema[c].dataType).alias(c) for c in ("copies", "spans")))
+    joined = split.where("maybe").join(decided, F.col("digest") == F.col("of"), "left")
+    return removed(joined.select(columns).unionAll(whole.select(columns)), length, keep)
 
 
 def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -314,6 +330,7 @@ def removed(decided: DataFrame, length: int, keep: tuple[str, ...]) -> DataFrame
     """Takes the spans out of each text."""
     names = ["doc_id", "text", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"]
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, digests, rests = [], [], []
@@ -331,7 +348,8 @@ def removed(decided: DataFrame, length: int, keep: tuple[str, ...]) -> DataFrame
                 rest = b"".join([*parts, data[at:]])
                 numbers.append((len(data), len(data) - len(rest), len(gone)))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                rests.append(rest.decode("utf-8", "ignore") if gone else None)
+                left = (x.decode("utf-8", "ignore") for x in [*parts, data[at:]])
+                rests.append("\n".join(filter(None, left)) if gone else None)
             values = np.array(numbers, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(batch.column(4 + i) for i in range(len(keep))),

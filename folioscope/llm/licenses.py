@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.tasks import released
 from folioscope.llm.words import Words, slices, words_of
 
 # Phrases whose places are reported, with their labels.
@@ -79,6 +80,7 @@ def document_frequencies(documents: DataFrame, templates: tuple = TEMPLATES) ->
     """Documents that hold each template word, and all documents: one count over the corpus."""
     vocabulary = np.unique(np.concatenate([_hashes(t) for _, t, _ in templates]))
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
@@ -146,6 +148,7 @@ def scan(documents: DataFrame, index: Index, base: tuple = BASE) -> DataFrame:
     phrases = [(_hashes(p), label) for p, label in base]
     names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows

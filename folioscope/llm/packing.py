@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
+from folioscope.llm.tasks import released
 from folioscope.llm.tokens import encode, encoding
 from folioscope.llm.words import strings
 
@@ -143,6 +144,7 @@ def pack(documents: DataFrame, vocabulary: Broadcast, window: int = WINDOW, end:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(vocabulary.value)
         base = TaskContext.get().partitionId() << 36

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.tasks import released
 from folioscope.llm.words import LOWER, WORD, RangeHash, mix, slices
 
 BITS = 18
@@ -127,6 +128,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     bits = len(model.weights).bit_length() - 1
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -25,6 +25,7 @@ import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm.tasks import released
 from folioscope.llm.words import strings
 
 # Fixed value: how the vocabulary's byte-level pre-tokenizer splits.
@@ -151,6 +152,7 @@ def build_trees(documents: DataFrame, vocabulary: Broadcast, keep: tuple[str, ..
     leaf. Where the leaves lie follows from the text."""
     kept = documents.select("doc_id", "text", *keep)
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(vocabulary.value)
         for batch in batches:
@@ -170,6 +172,7 @@ def recount(trees: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """(doc_id, n_chars, n_tokens, edited_chars, edited_tokens, reencoded_chars) from build_trees() with
     a column edits: array<struct<start, stop, text>>, each on the text as the edits before left it."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(vocabulary.value)
         for batch in batches:

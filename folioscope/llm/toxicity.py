@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.tasks import released
 from folioscope.llm.words import strings
 
 # Letters of other scripts that look like Latin ones.
@@ -113,6 +114,7 @@ def learn(sample: DataFrame, per_class: int = PER_CLASS, entries: int = ENTRIES,
     once = _core(sample).groupBy("label", F.coalesce("core", F.xxhash64("text")).alias("core")).agg(
         F.min("text").alias("text")).select("text", "label")
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
@@ -160,6 +162,7 @@ def learn(sample: DataFrame, per_class: int = PER_CLASS, entries: int = ENTRIES,
                 (row["mild"] + 0.5) / (mild + 1))
     lexicon = Lexicon(weights, exceptions)
 
+    @released
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
@@ -189,6 +192,7 @@ def _calibrate(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> Lexicon:
 def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, predicted, n_matches) of every row; whole texts, no shuffle."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
@@ -206,6 +210,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 def keep_mild(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows that the lexicon doesn't reject, whole and in place."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:

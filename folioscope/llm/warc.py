@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.tasks import released
+
 REVISIT = 1000
 #: A file is closed once it has so many compressed bytes.
 ROLL = 16 << 20
@@ -123,6 +125,7 @@ def write(pages: DataFrame, folder: str, least: int = REVISIT, roll: int = ROLL)
             "digest", "refers_to").distinct())
     ranged = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         files = _Roll(folder, context.partitionId(), context.taskAttemptId(), roll)
@@ -195,6 +198,7 @@ def read(spark: SparkSession, folder: str, page_type: str = "long") -> DataFrame
     files = manifest.repartition(max(1, manifest.count()))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         for batch in batches:

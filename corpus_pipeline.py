@@ -30,10 +30,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id."""
+    """Of each group of near duplicates the document with the least id, a null one only where all are null.
+    Groups go by their root: different groups may have the same least id."""
     ship_package(spark)
     groups = near_duplicates.similar(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root", "group_id").agg(
         F.min("digest").alias("kept_digest"))
     same = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.xxhash64("text") == F.col("kept_digest"))
     return docs.select(*COLUMNS).join(kept, same, "left_semi").withColumn("digest", F.xxhash64("text")) \

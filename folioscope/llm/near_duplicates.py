@@ -302,8 +302,8 @@ def verified(texts: DataFrame, size: int, threshold: float) -> DataFrame:
 def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES,
             depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, digest (xxhash64 of the text), class_id (least id of the texts with the
-    same words), group_id (least id of all that links connect), n_links (other documents that reach the
-    threshold, those of its own class included)."""
+    same words), group_id (least id of all that links connect), root (the group's name, as ids may be null or
+    repeated), n_links (other documents that reach the threshold, those of its own class included)."""
     spark = documents.sparkSession
     folder = fresh_folder(spark, "near-duplicates")
     signatures(documents, size, trees * depth).write.parquet(f"{folder}/signed")
@@ -337,7 +337,8 @@ def similar(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     linked = spark.read.parquet(f"{folder}/linked")
     linked.groupBy("root").agg(F.min("class_id").alias("group_id")).write.parquet(f"{folder}/groups")
     named = linked.join(spark.read.parquet(f"{folder}/groups"), "root").select(
-        "node", "class_id", "group_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        "node", "class_id", "group_id", "root", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     named.write.parquet(f"{folder}/named")
     return signed.select("doc_id", "digest", "node").join(
-        spark.read.parquet(f"{folder}/named"), "node").select("doc_id", "digest", "class_id", "group_id", "n_links")
+        spark.read.parquet(f"{folder}/named"), "node").select(
+            "doc_id", "digest", "class_id", "group_id", "root", "n_links")

@@ -60,7 +60,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.similar(table(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates.similar(table(spark, sf_dir, "documents")).drop("digest", "root")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

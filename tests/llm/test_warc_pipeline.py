@@ -5,9 +5,10 @@ import re
 import tempfile
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import warc
+from folioscope.llm import queries, warc
 from folioscope.session import ship_package
 from tests.llm import helpers
 
@@ -125,3 +126,82 @@ def test_run(spark):
     filled = packed.groupby("sequence_id")["length"].sum()
     assert filled.max() <= 2048
     assert (packed.groupby("doc_id")["length"].sum() == packed.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def survivors(rows, digest):
+    """(doc_id, text) that one of each group of near duplicates leaves, by comparing all pairs."""
+    sets, order = [set(helpers.shingles(t)) for _, t in rows], [helpers.words(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            near = order[i] == order[j] or bool(a & b) and len(a & b) >= 0.8 * len(a | b)
+            if near and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    best = {}
+    for g, (i, text) in zip(group, rows, strict=True):
+        best.setdefault(g, []).append((i is None, i or 0, digest[text], (i, text)))
+    return sorted((min(own)[-1] for own in best.values()), key=repr)
+
+
+def ids_that_name_nothing():
+    """(doc_id, text): null ids, and ids that stand for different texts, with near and exact copies."""
+    lone = [f"text {k} " + " ".join(f"t{k}x{j}" for j in range(60)) for k in range(14)]
+    rows = [(None, t) for t in lone[:5]] + [(8, t) for t in lone[5:9]] + [(9, lone[9]), (7, lone[9] + " more")]
+    rows += [(None, lone[0]), (8, lone[5]), (None, lone[10]), (30, lone[10] + " more"), (31, lone[11]), (None, lone[11])]
+    return rows + [(8, lone[12] + " tail"), (8, lone[12]), (None, None), (8, ""), (None, lone[13] + " end"), (None, lone[13])]
+
+
+def digests(spark, rows):
+    made = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string")
+    return {r["text"]: r["h"] for r in made.selectExpr("text", "xxhash64(text) AS h").collect()}
+
+
+def test_groups_with_equal_least_ids_all_keep_one(spark, sf_dir):
+    rows = ids_that_name_nothing()
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, documents(spark, rows), sf_dir)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert helpers.rows_of(kept, "doc_id", "text") == survivors(rows, digests(spark, rows))
+
+
+def test_run_is_the_chain_of_plain_statements(spark, tmp_path):
+    """run() on a table whose ids are null or repeated, against each stage's rule on the rows the one before kept."""
+    item = " ".join(f"bench{j}" for j in range(20))
+    passage = helpers.BASE.encode("ascii", "ignore").decode() + "and some more words until there are two hundred bytes of it."
+    rows = ids_that_name_nothing() + [(100 + i, " ".join(f"mild{i}x{j}" for j in range(40))) for i in range(150)]
+    rows += [(400 + i, f"zzvil snarg {' '.join(f'bad{i}x{j}' for j in range(6))} zzvil snarg") for i in range(90)]
+    rows += [(None, "zzvil snarg twice zzvil snarg"), (None, f"words before {item} and after")]
+    rows += [(8, f"quite another {item} text")]
+    rows += [(i, f"{' '.join(f'own{n}x{j}' for j in range(50))} {passage} end{n}") for n, i in enumerate((None, None, 8, 8, 600))]
+    made = documents(spark, rows)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i >= 400)) for i, _ in rows if i and 100 <= i < 500], "doc_id long, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = survivors([(i, t) for i, t in rows if "zzvil" not in (t or "")], digests(spark, rows))
+    count = {}
+    for _, text in left:
+        for s in range(len(text or "") - 199):
+            count[text[s:s + 200]] = count.get(text[s:s + 200], 0) + 1
+    cut = []
+    for i, text in left:
+        gone = {s + k for s in range(len(text or "") - 199) if count[text[s:s + 200]] > 1 for k in range(200)}
+        rest = text and "".join("\0" if s in gone else c for s, c in enumerate(text))
+        rest = text and "\n".join(x for x in rest.split("\0") if x)  # what was apart stays apart
+        if not gone or rest.strip():
+            cut.append((i, rest))
+    assert cut != left  # something was repeated
+
+    def windows(text):
+        w = helpers.words(text)
+        return {tuple(w[i:i + 10]) for i in range(len(w) - 9)}
+
+    clean = [(i, t) for i, t in cut if not windows(t) & windows(item)]
+    assert len(clean) == len(cut) - 2
+    bpe = Tokenizer.from_file(queries.vocabulary_path())
+    want = sorted(((i, len(bpe.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in clean), key=repr)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    # each document has one piece that begins at 0
+    assert helpers.rows_of(packed.where("start = 0"), "doc_id", "doc_tokens") == want
+    assert packed.selectExpr("sum(length)").first()[0] == sum(n for _, n in want)

@@ -21,7 +21,8 @@ FACTS = ["size", "modified_at", "content_hash", "reader_id", "reader_version"]
 @dataclass(frozen=True)
 class Rebuilt:
     """revision: the new one. published: whether readers see it. plan: (root, rel_path, change).
-    unreadable: (path, reader_id, message, skipped) of files that gave no text."""
+    unreadable: (path, reader_id, message, skipped) of files that gave no text, and a row if the scan's
+    budget cut files off."""
     revision: int
     published: bool
     plan: DataFrame
@@ -39,11 +40,10 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
     unchanged files are kept where model and chunker are those of the published revision; otherwise
     everything is cut and embedded again. The revision is published if the sources are still as listed.
     """
-    files = cut_lineage(scan.within_budget(scan.classify(
-        listing(), scan.reader_registry(spark), scan_rules).where("verdict = 'ACCEPTED'"), scan_rules).select(
-            *indexing.KEY, "path", "size", "modified_at", "reader_id", "reader_version"))
-    state = indexing.source_set_hash(files)
-    expected = _state(state)
+    accepted = cut_lineage(_accepted(listing(), scan_rules).select(
+        *indexing.KEY, "path", "size", "modified_at", "reader_id", "reader_version"))
+    files = cut_lineage(scan.within_budget(accepted, scan_rules))
+    expected = _state(indexing.source_set_hash(accepted))
     before = snapshot.published_revision(spark, folder)
     earlier = None if before is None else snapshot.load_revision(spark, folder, before, ["chunks", "entries"])
     known = None if earlier is None else earlier["entries"]
@@ -79,10 +79,13 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
         "chunks": index.chunks, "postings": index.postings, "term_stats": index.term_stats,
         "corpus_stats": index.corpus_stats, "entries": stored,
     }, snapshot.manifest_row(spark, base_id, revision, expected, signature, dimension, built_at))
-    current = _state(indexing.source_set_hash(scan.classify(
-        listing(), scan.reader_registry(spark), scan_rules).where("verdict = 'ACCEPTED'")))
+    current = _state(indexing.source_set_hash(_accepted(listing(), scan_rules)))
     published = snapshot.publish_revision(spark, folder, revision, expected, current)
-    return Rebuilt(revision, published, plan, unreadable)
+    return Rebuilt(revision, published, plan, unreadable.unionByName(scan.budget_warning(accepted, files)))
+
+
+def _accepted(files: DataFrame, scan_rules: ScanRules) -> DataFrame:
+    return scan.classify(files, scan.reader_registry(files.sparkSession), scan_rules).where("verdict = 'ACCEPTED'")
 
 
 def _sections(contents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -221,6 +221,15 @@ def unsupported_summary(classified: DataFrame, rules: ScanRules = ScanRules()) -
         .alias("message"))
 
 
+def budget_warning(accepted: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row if the budget cut files off, else none."""
+    sizes = accepted.agg(F.count("*").alias("a")).join(
+        F.broadcast(kept.agg(F.count("*").alias("k"))), F.lit(True))
+    return sizes.where("k < a").select(
+        F.lit("").alias("path"), F.lit("scan-budget").alias("reader_id"),
+        F.lit("扫描已达上限，后续文件未进入索引").alias("message"), F.lit(True).alias("skipped"))
+
+
 def scan_warnings(classified: DataFrame, accepted: DataFrame, kept: DataFrame,
                   rules: ScanRules = ScanRules()) -> DataFrame:
     """All rows a scan reports: one per refused file or directory, one per summary."""
@@ -258,12 +267,7 @@ def scan_warnings(classified: DataFrame, accepted: DataFrame, kept: DataFrame,
         F.lit("").alias("path"), F.lit("scan-budget").alias("reader_id"),
         F.concat(F.col("deep").cast("string"), F.lit(f" 个文件超过最大深度 {rules.max_depth}"))
         .alias("message"), F.lit(True).alias("skipped"))
-    sizes = accepted.agg(F.count("*").alias("a")).join(
-        F.broadcast(kept.agg(F.count("*").alias("k"))), F.lit(True))
-    budget = sizes.where("k < a").select(
-        F.lit("").alias("path"), F.lit("scan-budget").alias("reader_id"),
-        F.lit("扫描已达上限，后续文件未进入索引").alias("message"), F.lit(True).alias("skipped"))
     out = guarded
-    for more in (oversized, unsupported, links, deep, budget):
+    for more in (oversized, unsupported, links, deep, budget_warning(accepted, kept)):
         out = out.unionByName(more)
     return out

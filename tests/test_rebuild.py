@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioscope.config import ScanRules
 from folioscope.plans import rebuild, search
 from folioscope.plans.index import build_index
 from folioscope.sources import decode, scan, snapshot
@@ -78,3 +79,28 @@ def test_a_change_during_the_build_is_not_published(spark, tmp_path):
 
     done = rebuild.rebuild(spark, lambda: scan.list_files(spark, str(tmp_path / "x")), read, str(tmp_path / "out"), "kb", 1)
     assert not done.published and snapshot.published_revision(spark, str(tmp_path / "out")) is None
+
+
+def test_a_source_above_the_budget_is_published_with_a_warning(spark, tmp_path):
+    source, target = tmp_path / "docs", str(tmp_path / "index")
+    source.mkdir()
+    for name in ("a.md", "b.md", "c.md", "d.md"):
+        (source / name).write_text(f"{name}\n{LINES}\n")
+
+    def build(revision, **budget):
+        return rebuild.rebuild(spark, lambda: scan.list_files(spark, str(source)),
+                               lambda files: scan.read_contents(spark, str(source), files), target, "kb", revision,
+                               scan_rules=ScanRules(**budget))
+
+    def seen(done):
+        return done.published, {r.rel_path: r.change for r in done.plan.collect()}, [
+            (r.path, r.reader_id, r.skipped) for r in done.unreadable.collect()]
+
+    cut = [("", "scan-budget", True)]
+    assert seen(build(1, max_files=2)) == (True, {"a.md": "ADDED", "b.md": "ADDED"}, cut)
+    assert snapshot.published_revision(spark, target) == 1
+    assert {r.path for r in rebuild.published_index(spark, target).chunks.collect()} == {f"{source}/a.md", f"{source}/b.md"}
+    size = (source / "a.md").stat().st_size
+    assert seen(build(2, max_total_bytes=3 * size)) == (
+        True, {"a.md": "REUSED", "b.md": "REUSED", "c.md": "ADDED"}, cut)
+    assert seen(build(3)) == (True, {"a.md": "REUSED", "b.md": "REUSED", "c.md": "REUSED", "d.md": "ADDED"}, [])

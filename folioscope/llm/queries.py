@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, fingerprints, licenses, near_duplicates, packing, quality, tokens
-from folioscope.llm import repeats, toxicity, warc
+from folioscope.llm import decontaminate, divergence, fingerprints, licenses, mixing, near_duplicates, packing
+from folioscope.llm import periodic, quality, repeats, tokens, toxicity, warc
 from folioscope.llm.training import labelled_sample, remainder
 from folioscope.session import fresh_folder, ship_package
 
@@ -93,13 +93,38 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "digest")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), periodic.planted)
+    runs = F.col("runs")
+    # the order of structs: greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform(runs, lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("finer"))))
+    shown = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.select("doc_id", "runs", "collapsed", best.alias("best"), F.when(F.size(runs) > 0, F.concat(
+        shown, F.lit("\n"))).otherwise("").alias("shown"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.finer")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.finer)").alias("exponent_milli"),
+        F.sha2("shown", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_packing": op2_packing,
             "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
             "op5_ngram_join": op5_ngram_join,
             "op6_licenses": op6_licenses,
             "op7_warc": op7_warc,
-            "op8_repeats": op8_repeats, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
+            "op8_repeats": op8_repeats, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate,
+            "op11_periodic_runs": op11_periodic_runs, "op12_divergence": op12_divergence, "op13_mixing": op13_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

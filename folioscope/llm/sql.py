@@ -38,4 +38,33 @@ SELECT page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN r ON p.payload_digest = r.payload_digest AND payload_bytes >= 1000
 """
 
-SQL = {"op7_warc": OP7, "op10_decontaminate": OP10}
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+      FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+k AS (SELECT c.lang, c.source, c.term, c.n FROM c JOIN l ON c.lang = l.lang AND c.term = l.term),
+lt AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+gt AS (SELECT g.lang, g.source, coalesce(sum(k.n), 0) AS total
+       FROM g LEFT JOIN k ON g.lang = k.lang AND g.source = k.source GROUP BY ALL),
+p AS (SELECT gt.lang, gt.source, l.term, coalesce(k.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(k.n, 0)::HUGEINT + 1)) // (gt.total + lt.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (l.n::HUGEINT + 1)) // (lt.total + lt.v)::HUGEINT AS q
+      FROM gt JOIN l ON gt.lang = l.lang JOIN lt ON gt.lang = lt.lang
+      LEFT JOIN k ON k.lang = gt.lang AND k.source = gt.source AND k.term = l.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+SQL = {"op7_warc": OP7, "op10_decontaminate": OP10, "op12_divergence": OP12}

@@ -1,67 +1,68 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
-The weighted terms of a text are its word shingles with their counts. Each term falls into one of ``BINS``
-bins by its hash, and each bin keeps the term that comes first in Ioffe's consistent weighted sampling:
-r and c are gamma variables and beta a uniform one, drawn from hashes of the term;
-t = floor(ln(weight) / r + beta), and the term with the least ln c - r (t - beta + 1) is sampled together
-with its t. Bins of two texts agree with a probability near the generalised Jaccard similarity, the sum
-of the lesser weights over the sum of the greater ones. An empty bin takes the sample of the next one
-that isn't. (Bin-wise sampling with densification, as published for one-permutation hashing, costs one
-draw per term instead of one for each pair of term and sample.)
+The weighted terms of a text are its word shingles with their counts. A fingerprint is ``SAMPLES`` independent
+samples; each is the term that comes first in Ioffe's consistent weighted sampling over all terms of the text:
+with gamma variables r and c and a uniform beta drawn from hashes of (term, sample), and
+t = floor(ln(weight) / r + beta), the term of least a = c exp(-r (t - beta + 1)) is sampled together with its t.
+Samples of two texts agree with a probability equal to the generalised Jaccard similarity, the sum of the
+lesser weights over the sum of the greater ones, so the share that agrees is an unbiased estimate of it with
+a standard deviation of at most 1 / (2 sqrt(SAMPLES)).
+
+The variables are drawn as parts of each other, which leaves their laws as they are: c = f1 + f2 for exponential f1
+and f2; -ln(f1 / c), which is exponential and independent of c, is the part r (1 - beta) of r, and a third
+exponential variable is r beta. A term of weight 1 has t = 0 and a = f1, so it needs one hash and no logarithm;
+samples order by exp(-a), which for such a term is the uniform number from its hash.
 
 Defined results: a text without words has an empty fingerprint, which agrees with itself alone; a text
-of fewer words than a shingle is one term; null texts are empty ones; equal texts have equal fingerprints.
+of fewer words than a shingle is one term; null texts are empty ones; equal texts have equal fingerprints; texts
+of any length are taken whole, their terms counted in one task; other columns are ignored; repeated rows and
+ties are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.decontaminate import words
 from folioscope.session import cut_lineage, fresh_folder
 
-SIZE, BINS = 5, 64
-#: Partitions for each split of the scan: terms of a whole partition are counted in memory.
-FINER = 16
-
-
-def _uniforms(term: Column, seed: int) -> tuple[Column, Column]:
-    bits = F.xxhash64(term, F.lit(seed))
-    scale = F.lit(1.0 / (1 << 32))
-    low = (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * scale
-    return (F.shiftrightunsigned(bits, 32) + 0.5) * scale, low
-
-
-def sample(term: Column, weight: Column) -> Column:
-    """The sample of a term as a number that orders by ln a first and names (term, t) in its low 32 bits;
-    null where the weight is 0."""
-    (u1, u2), (u3, u4), (beta, _) = (_uniforms(term, s) for s in (1, 2, 3))
-    r, c = -F.log(u1) - F.log(u2), -F.log(u3) - F.log(u4)
-    t = F.floor(F.log(weight) / r + beta)
-    order = ((F.log(c) - r * (t - beta + 1) + 128) * (1 << 23)).cast("long")
-    name = F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(weight > 0, F.shiftleft(order, 32).bitwiseOR(name))
-
-
-def _filled(bins: Column, count: int) -> Column:
-    """An array of all bins' samples, 16 bits each; empty bins take the next that isn't, round the end."""
-    all_bins = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.try_element_at(bins, b))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-    swept = F.aggregate(
-        F.reverse(F.concat(all_bins, all_bins)), start,
-        lambda acc, x: F.struct(F.coalesce(x, acc["last"]).alias("last"), F.concat(
-            F.array(F.coalesce(x, acc["last"])), acc["out"]).alias("out")),
-        lambda acc: F.slice(acc["out"], 1, count))
-    values = F.when(F.size(bins) == count, all_bins).otherwise(swept)
-    return F.transform(values, lambda x: F.coalesce(
-        x.bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(-1)))
-
-
-def fingerprints(frame: DataFrame, keys: list[str], texts: list[str], size: int = SIZE,
-                 bins: int = BINS) -> DataFrame:
-    """keys and, for each text column, an array of ``bins`` samples under its name. A frame that is
-    partitioned by its keys isn't shuffled. Rows whose texts have no words are left out."""
+SIZE, SAMPLES = 5, 64
+#: Characters of text in a partition, whose terms are counted in memory; beyond ``MOST_PARTITIONS`` partitions
+#: they grow and the count spills.
+PARTITION_CHARS, MOST_PARTITIONS = 1 << 20, 100_000
+#: Bits of a uniform number; one more would round half a step up to 1.
+_BITS = 52
+
+
+def uniform(term: str, number: str | int) -> str:
+    """SQL for what a term of weight 1 offers as a sample: exp(-a) as a whole number of 52 bits."""
+    return f"shiftrightunsigned(xxhash64({term}, {number}, 0), {64 - _BITS})"
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """Adds ``drawn`` to rows of (term, weight, number): exp(-a) of the term's t for a weight above 0, as a whole
+    number of 52 bits, of which the greatest is taken. Equal (term, t) have equal values, others differ but for
+    chance. Steps are columns of their own, so that each is computed once."""
+    def exponential(salt: int) -> str:
+        return f"-ln((shiftrightunsigned(xxhash64(term, number, {salt}), {64 - _BITS}) + 0.5D) * {2.0 ** -_BITS!r}D)"
+
+    steps = {"f1": exponential(0), "f2": exponential(1), "rest": exponential(2), "c": "f1 + f2", "r": "ln(c / f1) + rest",
+             "beta": "rest / r", "t": "floor(ln(cast(weight AS double)) / r + beta)",
+             "drawn": f"CASE WHEN t = 0 THEN {uniform('term', 'number')}"
+                      f" ELSE cast(exp(-c * exp(-r * (t - beta + 1))) * {2.0 ** _BITS!r}D AS bigint) END"}
+    made = rows
+    for name, step in steps.items():
+        made = made.withColumn(f"_{name}", F.expr(re.sub(r"\b(f1|f2|rest|c|r|beta|t)\b", r"_\1", step)))
+    return made.withColumnRenamed("_drawn", "drawn").drop(*(f"_{name}" for name in steps))
+
+
+def fingerprints(frame: DataFrame, keys: list[str], texts: tuple[str, str], size: int = SIZE,
+                 samples: int = SAMPLES) -> DataFrame:
+    """keys and, for each of two text columns, an array of ``samples`` samples under its name, 16 bits each. A
+    frame that is partitioned by its keys isn't shuffled. Rows whose texts have no words are left out."""
     def terms(i: int) -> Column:
         w, n = F.col(f"_words{i}"), F.size(f"_words{i}")
         return F.when(n > 0, F.arrays_zip(
@@ -71,22 +72,34 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: list[str], size: int
 
     names = [f"w{k}" for k in range(size)]
     taken = frame.select(*keys, *(words(F.col(t)).alias(f"_words{i}") for i, t in enumerate(texts)))
-    rows = taken.select(*keys, F.inline(F.concat(*(terms(i) for i in range(len(texts))))).alias("which", "at", *names))
+    rows = taken.select(*keys, F.inline(F.concat(*(terms(i) for i in range(2)))).alias("which", "at", *names))
     rows = rows.where(F.col(names[-1]).isNotNull() | (F.col("at") == 0))
     counted = rows.select(*keys, "which", F.xxhash64(*names).alias("term")).groupBy(*keys, "term").agg(
-        *(F.sum((F.col("which") == i).cast("int")).alias(f"n{i}") for i in range(len(texts))))
-    place = F.pmod(F.xxhash64("term", F.lit(4)), F.lit(bins)).cast("int")
-    sampled = counted.select(*keys, place.alias("bin"), *(
-        sample(F.col("term"), F.col(f"n{i}")).alias(f"s{i}") for i in range(len(texts))))
-    least = sampled.groupBy(*keys, "bin").agg(*(F.min(f"s{i}").alias(f"s{i}") for i in range(len(texts))))
-    gathered = least.groupBy(*keys).agg(*(F.collect_list(F.when(
-        F.col(f"s{i}").isNotNull(), F.struct("bin", f"s{i}"))).alias(f"s{i}") for i in range(len(texts))))
-    mapped = gathered.select(*keys, *(F.map_from_entries(f"s{i}").alias(f"s{i}") for i in range(len(texts))))
-    return mapped.select(*keys, *(_filled(F.col(f"s{i}"), bins).alias(text) for i, text in enumerate(texts)))
+        *(F.sum((F.col("which") == i).cast("int")).alias(f"n{i}") for i in range(2)))
+
+    def offer(of: int, weight: str) -> str:
+        """A term of weight 1 stays one row for all samples (number -1), others are a row for each."""
+        one = f"named_struct('of', {of}, 'weight', {weight}, 'number', %s)"
+        return (f"CASE WHEN {weight} = 1 THEN array({one % -1}) WHEN {weight} > 1 THEN"
+                f" transform(sequence(0, {samples - 1}), number -> {one % 'number'}) ELSE array() END")
+
+    # a term of equal weight in both texts, as most are, is sampled once for both (2)
+    weighted = counted.select(*keys, "term", F.expr(
+        f"inline(CASE WHEN n0 = n1 THEN {offer(2, 'n0')} ELSE concat({offer(0, 'n0')}, {offer(1, 'n1')}) END)"))
+    numbers = range(samples)
+    drawn = sampled(weighted).groupBy(*keys, "of").agg(*(F.expr(
+        f"max(CASE WHEN number = -1 THEN {uniform('term', k)} WHEN number = {k} THEN drawn END) AS s{k}") for k in numbers))
+    best = drawn.groupBy(*keys).agg(*(F.expr(f"max(CASE WHEN of <> {1 - i} THEN s{k} END) AS s{i}_{k}")
+                                      for i in range(2) for k in numbers))
+
+    def shown(i: int, k: int) -> Column:
+        return F.expr(f"CASE WHEN s{i}_{k} IS NULL THEN -1 ELSE cast(xxhash64(s{i}_{k}) & 65535 AS int) END")
+
+    return best.select(*keys, *(F.array(*(shown(i, k) for k in numbers)).alias(text) for i, text in enumerate(texts)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins that agree."""
+    """Share of the samples that agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
 
 
@@ -109,18 +122,19 @@ def in_order(documents: DataFrame) -> DataFrame:
         after["digest"].alias("next_digest"))
 
 
-def edited_likeness(documents: DataFrame, size: int = SIZE, bins: int = BINS) -> DataFrame:
+def edited_likeness(documents: DataFrame, size: int = SIZE, samples: int = SAMPLES) -> DataFrame:
     """Every document against its edited text, the last quarter replaced by the head of the next document,
     and against the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. Texts are shuffled once; heads travel already cut."""
     spark = documents.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), FINER * documents.rdd.getNumPartitions())
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select(
         F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("digest"),
         "doc_id", text.alias("text"))
     order = cut_lineage(in_order(keyed.select("id", "digest", "doc_id", F.char_length("text").cast("long").alias("n_chars"))))
     keys = ["id", "digest"]
+    chars = order.agg(F.sum("n_chars")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, chars // PARTITION_CHARS))
     texts = keyed.select(*keys, "text").repartition(parts, *keys).dropDuplicates(keys)
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     asked = order.select(F.col("next_id").alias("id"), F.col("next_digest").alias("digest"),
@@ -129,8 +143,8 @@ def edited_likeness(documents: DataFrame, size: int = SIZE, bins: int = BINS) ->
                                            F.substring("text", F.lit(1), F.col("quarter")).alias("head"))
     both = texts.join(order.select(*keys, "n_chars"), keys).join(heads, keys).select(*keys, "text", F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), "head").alias("edited"))
-    found = fingerprints(both, keys, ["text", "edited"], size, bins)
-    none = F.array_repeat(F.lit(-1), bins)
+    found = fingerprints(both, keys, ("text", "edited"), size, samples)
+    none = F.array_repeat(F.lit(-1), samples)
     folder = fresh_folder(spark, "fingerprints")
     both.select(*keys, F.sha2("edited", 256).alias("edited_sha256")).join(found, keys, "left").select(
         *keys, "edited_sha256", F.coalesce("text", none).alias("own"), F.coalesce("edited", none).alias("edited"),

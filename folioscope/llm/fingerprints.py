@@ -49,10 +49,12 @@ def sampled(rows: DataFrame) -> DataFrame:
     def exponential(salt: int) -> str:
         return f"-ln((shiftrightunsigned(xxhash64(term, number, {salt}), {64 - _BITS}) + 0.5D) * {2.0 ** -_BITS!r}D)"
 
-    steps = {"f1": exponential(0), "f2": exponential(1), "rest": exponential(2), "c": "f1 + f2", "r": "ln(c / f1) + rest",
-             "beta": "rest / r", "t": "floor(ln(cast(weight AS double)) / r + beta)",
+    # a negative number stands for a row that needs no steps
+    steps = {"f1": f"CASE WHEN number >= 0 THEN {exponential(0)} END", "f2": f"CASE WHEN number >= 0 THEN {exponential(1)} END",
+             "rest": f"CASE WHEN number >= 0 THEN {exponential(2)} END", "c": "f1 + f2", "r": "ln(c / f1) + rest",
+             "beta": "rest / r", "t": "CASE WHEN number >= 0 THEN floor(ln(cast(weight AS double)) / r + beta) END",
              "drawn": f"CASE WHEN t = 0 THEN {uniform('term', 'number')}"
-                      f" ELSE cast(exp(-c * exp(-r * (t - beta + 1))) * {2.0 ** _BITS!r}D AS bigint) END"}
+                      f" WHEN t > 0 THEN cast(exp(-c * exp(-r * (t - beta + 1))) * {2.0 ** _BITS!r}D AS bigint) END"}
     made = rows
     for name, step in steps.items():
         made = made.withColumn(f"_{name}", F.expr(re.sub(r"\b(f1|f2|rest|c|r|beta|t)\b", r"_\1", step)))
@@ -71,21 +73,27 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: tuple[str, str], size
                              for k in range(1, size)))).otherwise(F.array())
 
     names = [f"w{k}" for k in range(size)]
-    taken = frame.select(*keys, *(words(F.col(t)).alias(f"_words{i}") for i, t in enumerate(texts)))
+    # words become numbers before they are lined up, so the many rows that follow hold no strings
+    taken = frame.select(*keys, *(F.transform(words(F.col(t)), lambda w: F.xxhash64(w)).alias(f"_words{i}")
+                                  for i, t in enumerate(texts)))
     rows = taken.select(*keys, F.inline(F.concat(*(terms(i) for i in range(2)))).alias("which", "at", *names))
     rows = rows.where(F.col(names[-1]).isNotNull() | (F.col("at") == 0))
     counted = rows.select(*keys, "which", F.xxhash64(*names).alias("term")).groupBy(*keys, "term").agg(
         *(F.sum((F.col("which") == i).cast("int")).alias(f"n{i}") for i in range(2)))
 
-    def offer(of: int, weight: str) -> str:
-        """A term of weight 1 stays one row for all samples (number -1), others are a row for each."""
-        one = f"named_struct('of', {of}, 'weight', {weight}, 'number', %s)"
-        return (f"CASE WHEN {weight} = 1 THEN array({one % -1}) WHEN {weight} > 1 THEN"
-                f" transform(sequence(0, {samples - 1}), number -> {one % 'number'}) ELSE array() END")
-
-    # a term of equal weight in both texts, as most are, is sampled once for both (2)
-    weighted = counted.select(*keys, "term", F.expr(
-        f"inline(CASE WHEN n0 = n1 THEN {offer(2, 'n0')} ELSE concat({offer(0, 'n0')}, {offer(1, 'n1')}) END)"))
+    # Each row is (which text, sample): 2 stands for both texts, where a term has equal weight in both, as most have.
+    # A term of weight 1 stays one row for all samples, by the last number; others are a row for each sample.
+    def offers(of: int, weight: str) -> str:
+        low = of * (samples + 1)
+        return (f"CASE WHEN {weight} = 1 THEN array({low + samples}) WHEN {weight} > 1 THEN"
+                f" sequence({low}, {low + samples - 1}) ELSE cast(array() AS array<int>) END")
+
+    offered = counted.select(*keys, "term", "n0", "n1", F.expr(
+        f"explode(CASE WHEN n0 = n1 THEN {offers(2, 'n0')} WHEN n1 = 0 THEN {offers(0, 'n0')}"
+        f" WHEN n0 = 0 THEN {offers(1, 'n1')} ELSE concat({offers(0, 'n0')}, {offers(1, 'n1')}) END) AS offer"))
+    weighted = offered.select(*keys, "term", F.expr(f"offer div {samples + 1} AS of"), F.expr(
+        f"CASE WHEN offer % {samples + 1} = {samples} THEN -1 ELSE offer % {samples + 1} END AS number"), "n0", "n1").select(
+        *keys, "term", "of", "number", F.expr("CASE WHEN of = 1 THEN n1 ELSE n0 END AS weight"))
     numbers = range(samples)
     drawn = sampled(weighted).groupBy(*keys, "of").agg(*(F.expr(
         f"max(CASE WHEN number = -1 THEN {uniform('term', k)} WHEN number = {k} THEN drawn END) AS s{k}") for k in numbers))

@@ -201,7 +201,7 @@ def repeat_queries(spark, sf):
 def _bm25(spark, sf, extension=None):
     idx = t.index(spark, sf)
     terms = cut_lineage(queries.query_terms(queries.analyze(t.asked(spark, sf))))
-    return t.rounded(sparse.bm25_top(idx.postings, terms, idx.term_stats, idx.corpus_stats,
+    return t.rounded(sparse.bm25_top(idx.impacts, terms, idx.term_stats, idx.corpus_stats,
                                      idx.chunks, RULES, extension), "score")
 
 

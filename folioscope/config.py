@@ -43,8 +43,13 @@ class SearchRules:
     # A term's postings are spread over this many join keys, so that a term found in a third of
     # the corpus is not one reducer's work.
     term_salts: int = 16
-    # Query terms are shipped to the postings up to this many rows; beyond it both are shuffled.
-    max_shipped_terms: int = 1_000_000
+    # Folders that postings by term are stored in, and files a task writes of each; a corpus of more
+    # terms takes more of them.
+    term_buckets: int = 16
+    bucket_parts: int = 4
+    # Postings of a block, and levels of impact per unit.
+    block_postings: int = 256
+    impact_levels: int = 4
     # Query vectors are shipped to the tasks only up to this many bytes; beyond it the vectors
     # are joined block by block.
     max_shipped_vector_bytes: int = 32 * 1024 * 1024

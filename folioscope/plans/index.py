@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules
-from folioscope.operators import chunking, dense, lexical
+from folioscope.operators import chunking, dense, impacts, lexical
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks (with embedding), postings, term_stats and the one-row corpus_stats."""
+    """chunks (with embedding), postings, term_stats, the one-row corpus_stats, and impacts: the
+    postings by term in blocks."""
     chunks: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    impacts: DataFrame
 
 
 def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
@@ -28,7 +30,8 @@ def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
         chunks = chunks.drop("embedding").join(vectors, "chunk_id", "left")
     elif "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-    return Index(chunks, postings, lexical.document_frequency(postings), stats)
+    frequency = lexical.document_frequency(postings)
+    return Index(chunks, postings, frequency, stats, impacts.blocks(postings, chunks, frequency, stats))
 
 
 def build_index(documents: DataFrame, embedder: dense.Embedder | None = dense.hashed_vectors,
@@ -42,7 +45,7 @@ def build_index(documents: DataFrame, embedder: dense.Embedder | None = dense.ha
     return index_chunks(chunks)
 
 
-TABLES = ("chunks", "postings", "term_stats", "corpus_stats")
+TABLES = ("chunks", "postings", "term_stats", "corpus_stats", "impacts")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -61,6 +64,8 @@ def materialize(index: Index, path: str) -> Index:
     lexical.document_frequency(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
     lexical.corpus_stats(chunks, postings).write.mode("overwrite").parquet(
         f"{path}/corpus_stats")
+    impacts.blocks(postings, chunks, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(
+        f"{path}/corpus_stats")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/impacts")
     return open_index(spark, path)
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules, ScanRules
 from folioscope.functions import fixed, text as tx
-from folioscope.operators import chunking, dense, indexing
-from folioscope.plans.index import Index, index_chunks
-from folioscope.session import cut_lineage
+from folioscope.operators import chunking, dense, impacts, indexing, lexical
+from folioscope.plans.index import TABLES, Index
+from folioscope.session import cut_lineage, stored
 from folioscope.sources import decode, html, scan, snapshot
 
 FACTS = ["size", "modified_at", "content_hash", "reader_id", "reader_version"]
@@ -36,7 +36,8 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
     """Builds and publishes a revision.
 
     ``listing()`` gives the files (root, path, rel_path, size, modified_at), ``read(files)`` the contents
-    (path, content) of the files it is given. Files of unchanged size and time are not opened. Chunks of
+    (path, content) of the files it is given, and
+    an ``error`` where one couldn't be read: it becomes a warning and the rest is published. Files of unchanged size and time are not opened. Chunks of
     unchanged files are kept where model and chunker are those of the published revision; otherwise
     everything is cut and embedded again. The revision is published if the sources are still as listed.
     """
@@ -45,11 +46,13 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
     files = cut_lineage(scan.within_budget(accepted, scan_rules))
     expected = _state(indexing.source_set_hash(accepted))
     before = snapshot.published_revision(spark, folder)
-    earlier = None if before is None else snapshot.load_revision(spark, folder, before, ["chunks", "entries"])
+    earlier = None if before is None else snapshot.load_revision(spark, folder, before, ["chunks", "entries", "postings"])
     known = None if earlier is None else earlier["entries"]
     opened = files if known is None else files.join(
         known.select(*indexing.KEY, "size", "modified_at"), [*indexing.KEY, "size", "modified_at"], "left_anti")
-    hashed = cut_lineage(indexing.fingerprints(files, read(opened), known))
+    # what is opened is read once, so hashes and chunks are of the same bytes
+    first_read = stored(_with_errors(read(opened)), "contents")
+    hashed = cut_lineage(indexing.fingerprints(files, first_read, known))
     if known is None:
         plan = cut_lineage(hashed.select(*indexing.KEY, F.lit("ADDED").alias("change")))
         again, kept = plan.select(*indexing.KEY), None
@@ -60,28 +63,55 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
         plan = cut_lineage(indexing.diff(known, hashed, allowed))
         kept, again = indexing.split_reusable(plan, known.select(*indexing.KEY, "chunk_ids"), earlier["chunks"])
     wanted = files.join(again, indexing.KEY, "left_semi")
-    contents = wanted.join(read(wanted), "path")
+    unopened = wanted.join(opened.select("path"), "path", "left_anti")
+    every = first_read.unionByName(_with_errors(read(unopened)))
+    contents = wanted.join(every.where("error IS NULL").drop("error"), "path")
     sections, unreadable = _sections(contents)
+    failed = files.join(every.where("error IS NOT NULL").select("path", "error"), "path").select(
+        "path", "reader_id", F.col("error").alias("message"), F.lit(True).alias("skipped"))
     chunks = chunking.chunk_sections(sections, chunk_rules)
     if embedder is not None:
-        chunks = chunks.join(dense.embed_new(chunks, None, embedder), "chunk_id")
+        chunks = dense.with_vectors(chunks, F.concat_ws("\n", "file_name", "source_location", "content"), embedder)
     else:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     if kept is not None:
         chunks = indexing.assemble(kept, earlier["chunks"], chunks)
-    chunks = cut_lineage(chunks)
-    index = index_chunks(chunks)
-    stored = indexing.entries(hashed.select(
+    facts = hashed.select(
         *indexing.KEY, "path", *FACTS, F.lit(fixed.CHUNKING_VERSION).alias("chunking_version"),
-        decode.document_id(F.col("root"), F.col("rel_path")).alias("document_id")), chunks)
-    dimension = 0 if embedder is None else chunks.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+        decode.document_id(F.col("root"), F.col("rel_path")).alias("document_id"))
+
+    def manifest_of(at: Callable[[str], DataFrame]) -> DataFrame:
+        dimension = 0 if embedder is None else at("chunks").agg(
+            F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+        return snapshot.manifest_row(spark, base_id, revision, expected, signature, dimension, built_at)
+
     snapshot.write_revision(spark, folder, revision, {
-        "chunks": index.chunks, "postings": index.postings, "term_stats": index.term_stats,
-        "corpus_stats": index.corpus_stats, "entries": stored,
-    }, snapshot.manifest_row(spark, base_id, revision, expected, signature, dimension, built_at))
+        "chunks": chunks, "postings": lambda at: postings_of(at("chunks"), earlier),
+        "term_stats": lambda at: lexical.document_frequency(at("postings")),
+        "corpus_stats": lambda at: lexical.corpus_stats(at("chunks"), at("postings")),
+        "impacts": lambda at: impacts.blocks(at("postings"), at("chunks"), at("term_stats"), at("corpus_stats")),
+        "entries": lambda at: indexing.entries(facts, at("chunks")),
+    }, manifest_of)
     current = _state(indexing.source_set_hash(_accepted(listing(), scan_rules)))
     published = snapshot.publish_revision(spark, folder, revision, expected, current)
-    return Rebuilt(revision, published, plan, unreadable.unionByName(scan.budget_warning(accepted, files)))
+    return Rebuilt(revision, published, plan, unreadable.unionByName(failed).unionByName(
+        scan.budget_warning(accepted, files)))
+
+
+def postings_of(chunks: DataFrame, earlier: dict[str, DataFrame] | None) -> DataFrame:
+    """Postings of a revision's chunks. A chunk's id stands for its names and text, so the postings of chunks
+    that the earlier revision holds are taken from there, and only new chunks are taken apart."""
+    if earlier is None:
+        return lexical.chunk_postings(chunks)
+    fresh = chunks.join(earlier["chunks"].select("chunk_id"), "chunk_id", "left_anti")
+    return earlier["postings"].join(chunks.select("chunk_id"), "chunk_id", "left_semi").unionByName(
+        lexical.chunk_postings(fresh))
+
+
+def _with_errors(contents: DataFrame) -> DataFrame:
+    """Readers that can't fail give no error column."""
+    error = F.col("error") if "error" in contents.columns else F.lit(None).cast("string")
+    return contents.select("path", "content", error.alias("error"))
 
 
 def _accepted(files: DataFrame, scan_rules: ScanRules) -> DataFrame:
@@ -115,11 +145,11 @@ def published_index(spark: SparkSession, folder: str, signature: str = "hashed:6
     """The published revision for searches. Vectors that another model made, or that are incomplete, are left
     out, so a search of them falls back to terms."""
     revision = snapshot.published_revision(spark, folder)
-    tables = snapshot.load_revision(spark, folder, revision, ["chunks", "postings", "term_stats", "corpus_stats"])
+    tables = snapshot.load_revision(spark, folder, revision, list(TABLES))
     if tables is None:
         raise FileNotFoundError(f"revision {revision} of {folder} is incomplete")
-    chunks, manifest = tables["chunks"], tables.get("manifest")
+    chunks, manifest = tables.pop("chunks"), tables.pop("manifest", None)
     usable = manifest is not None and bool(dense.compatibility(chunks, manifest, signature).first()[0])
     if not usable:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-    return Index(chunks, tables["postings"], tables["term_stats"], tables["corpus_stats"])
+    return Index(chunks, **tables)

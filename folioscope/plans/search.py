@@ -19,7 +19,7 @@ META = ("chunk_id", "path", "file_name", "source_location", "extension")
 
 
 def _sparse_branch(index, analyzed, terms, rules, extension):
-    return sparse.bm25_top(index.postings, terms, index.term_stats, index.corpus_stats,
+    return sparse.bm25_top(index.impacts, terms, index.term_stats, index.corpus_stats,
                            index.chunks, rules, extension)
 
 

@@ -62,6 +62,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """As ``cut_lineage``, for a table that is joined afterwards: Parquet tells Spark its size, so it
+    ships the table to the tasks where that is small."""
+    folder = fresh_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.parquet(folder)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"

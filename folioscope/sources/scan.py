@@ -71,7 +71,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_contents(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """(path, content) of the given files below a root, or of all; only these are opened."""
+    """(path, content, error) of the given files below a root, or of all; only these are opened. A file that
+    can't be read, as one without permission or deleted since it was listed, has no content but its error."""
     wanted = (list_files(spark, root).where("not is_link") if files is None else files).select(
         "path", "rel_path")
 
@@ -79,11 +80,17 @@ def read_contents(spark: SparkSession, root: str, files: DataFrame | None = None
         found, base = _open(root)
         for batch in batches:
             for path, rel_path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with found.open_input_stream(f"{base}/{rel_path}", compression=None) as stream:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([stream.read()], pa.binary())], ["path", "content"])
-
-    return wanted.mapInArrow(read, "path string, content binary")
+                content, error = None, None
+                try:
+                    with found.open_input_stream(f"{base}/{rel_path}", compression=None) as stream:
+                        content = stream.read()
+                except OSError as fault:
+                    error = f"{type(fault).__name__}: {fault}"
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())],
+                    ["path", "content", "error"])
+
+    return wanted.mapInArrow(read, "path string, content binary, error string")
 
 
 def _directories(rel_path: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,12 @@ def _path(jvm, text: str):
     return jvm.org.apache.hadoop.fs.Path(text)
 
 
+#: A table, or what derives it from tables written before it, which it asks for by name.
+Table = DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]
+
+
 def write_revision(spark: SparkSession, folder: str, revision: int,
-                   tables: dict[str, DataFrame], manifest: DataFrame) -> str:
+                   tables: dict[str, Table], manifest: Table) -> str:
     """Writes all tables aside and renames the folder when everything is there. A failed write
     leaves nothing behind, and an earlier build of the revision is deleted only once the new one has
     its place. Renames are atomic on HDFS and local disks; an object store needs a committer of its
@@ -35,9 +40,18 @@ def write_revision(spark: SparkSession, folder: str, revision: int,
     fs, jvm = _fs(spark, folder)
     staging = f"{folder}/_staging/{uuid.uuid4()}"
     final, aside = f"{folder}/revision={revision}", f"{folder}/_staging/{uuid.uuid4()}"
+
+    def written(name: str) -> DataFrame:
+        return spark.read.parquet(f"{staging}/{name}")
+
     try:
         for name, table in tables.items():
-            table.write.mode("errorifexists").parquet(f"{staging}/{name}")
+            if callable(table):
+                table = table(written)
+            # postings by term lie in folders by bucket, which searches read by name
+            by = ["bucket"] if "bucket" in table.columns else []
+            table.write.mode("errorifexists").partitionBy(*by).parquet(f"{staging}/{name}")
+        manifest = manifest(written) if callable(manifest) else manifest
         manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staging}/manifest")
         earlier = fs.exists(_path(jvm, final))
         if earlier and not fs.rename(_path(jvm, final), _path(jvm, aside)):

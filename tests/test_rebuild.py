@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from folioscope.config import ScanRules
+from folioscope.operators import lexical
 from folioscope.plans import rebuild, search
-from folioscope.plans.index import build_index
+from folioscope.plans.index import build_index, index_chunks
 from folioscope.sources import decode, scan, snapshot
 
 LINES = "\n".join(f"line {i} tells of retry policy number {i} in some detail" for i in range(40))
@@ -69,6 +70,63 @@ def test_rebuilds_open_only_what_changed(spark, tmp_path):
     assert snapshot.published_revision(spark, target) == 3
 
 
+def test_rebuilt_postings_are_those_of_a_full_build(spark, tmp_path, monkeypatch):
+    source, target = tmp_path / "docs", str(tmp_path / "index")
+    source.mkdir()
+    for name in ("a.md", "b.md", "c.md"):
+        (source / name).write_text(f"{name}\n{LINES}\n")
+    taken = []
+    derive = lexical.chunk_postings
+
+    def watched(chunks):
+        taken.append({r.chunk_id for r in chunks.select("chunk_id").collect()})
+        return derive(chunks)
+
+    monkeypatch.setattr(lexical, "chunk_postings", watched)
+
+    def build(revision):
+        return rebuild.rebuild(spark, lambda: scan.list_files(spark, str(source)),
+                               lambda files: scan.read_contents(spark, str(source), files), target, "kb", revision)
+
+    def tables():
+        index = rebuild.published_index(spark, target)
+        ids = {r.chunk_id for r in index.chunks.collect()}
+        return ids, index, index_chunks(index.chunks)
+
+    assert build(1).published
+    assert len(taken) == 1
+    before, _, _ = tables()
+    assert taken[0] == before
+    (source / "a.md").write_text(f"changed\n{LINES}\nand words that no other file has")
+    (source / "b.md").unlink()
+    taken.clear()
+    assert build(2).published
+    ids, index, full = tables()
+    assert taken[0] == ids - before and 0 < len(taken[0]) < len(ids)
+    for name in ("postings", "term_stats", "corpus_stats"):
+        made, want = getattr(index, name), getattr(full, name)
+        assert sorted(map(tuple, made.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    asked = spark.createDataFrame([(1, "words that no other file has"), (2, "retry policy number 7")], "query_id int, text string")
+    for strategy in search.STRATEGIES:
+        got = search.search(index, asked, strategy)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.search(full, asked, strategy).collect()))
+        assert got.count() > 0
+
+
+def test_files_that_cannot_be_read_are_warnings(spark, tmp_path):
+    source, target = tmp_path / "docs", str(tmp_path / "index")
+    source.mkdir()
+    for name in ("a.md", "gone.md"):
+        (source / name).write_text(f"{name}\n{LINES}\n")
+    found = scan.list_files(spark, str(source))
+    listed = spark.createDataFrame(found.collect(), found.schema)
+    (source / "gone.md").unlink()
+    done = rebuild.rebuild(spark, lambda: listed, lambda files: scan.read_contents(spark, str(source), files), target, "kb", 1)
+    assert done.published
+    assert [(r.path, r.skipped, "gone.md" in r.message) for r in done.unreadable.collect()] == [(f"{source}/gone.md", True, True)]
+    assert {r.path for r in rebuild.published_index(spark, target).chunks.collect()} == {f"{source}/a.md"}
+
+
 def test_a_change_during_the_build_is_not_published(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.md").write_text(LINES)

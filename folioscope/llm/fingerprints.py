@@ -111,6 +111,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
 
 
+def packed(values: Column) -> Column:
+    """Samples of 16 bits, four in a long; null where there are none, as in a text without words."""
+    def lane(i: Column, k: int) -> Column:
+        return F.call_function("shiftleft", F.get(values, i * 4 + k).cast("long"), F.lit(48 - 16 * k))
+
+    whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 4).cast("int") - 1), lambda i: lane(i, 0).bitwiseOR(
+        lane(i, 1)).bitwiseOR(lane(i, 2)).bitwiseOR(lane(i, 3)))
+    return F.when(F.get(values, F.lit(0)) >= 0, whole)
+
+
+def unpacked(longs: Column, samples: int) -> Column:
+    """The samples as they were; -1 for those of a text without words."""
+    lanes = F.flatten(F.transform(longs, lambda x: F.array(*(
+        F.shiftrightunsigned(x, 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(4)))))
+    return F.coalesce(lanes, F.array_repeat(F.lit(-1), samples))
+
+
 def in_order(documents: DataFrame) -> DataFrame:
     """(id, digest, n_chars, copies, next_id, next_digest): documents by ascending doc_id, each with the one
     after it; the first comes after the last. Rows of equal id and text are one document."""
@@ -134,6 +151,8 @@ def edited_likeness(documents: DataFrame, size: int = SIZE, samples: int = SAMPL
     """Every document against its edited text, the last quarter replaced by the head of the next document,
     and against the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. Texts are shuffled once; heads travel already cut."""
+    if samples % 4:
+        raise ValueError("samples are stored in fours")
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select(
@@ -152,10 +171,9 @@ def edited_likeness(documents: DataFrame, size: int = SIZE, samples: int = SAMPL
     both = texts.join(order.select(*keys, "n_chars"), keys).join(heads, keys).select(*keys, "text", F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), "head").alias("edited"))
     found = fingerprints(both, keys, ("text", "edited"), size, samples)
-    none = F.array_repeat(F.lit(-1), samples)
     folder = fresh_folder(spark, "fingerprints")
     both.select(*keys, F.sha2("edited", 256).alias("edited_sha256")).join(found, keys, "left").select(
-        *keys, "edited_sha256", F.coalesce("text", none).alias("own"), F.coalesce("edited", none).alias("edited"),
+        *keys, "edited_sha256", packed(F.col("text")).alias("own"), packed(F.col("edited")).alias("edited"),
     ).join(order, keys).write.parquet(folder)
     stored = spark.read.parquet(folder)
     after = stored.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("own").alias("after"))
@@ -164,7 +182,8 @@ def edited_likeness(documents: DataFrame, size: int = SIZE, samples: int = SAMPL
         return F.array_join(F.transform(samples, lambda x: F.when(x < 0, "").otherwise(
             F.lpad(F.lower(F.hex(x)), 4, "0"))), "")
 
-    return stored.join(after, ["next_id", "next_digest"]).select(
+    joined = stored.join(after, ["next_id", "next_digest"])
+    return joined.withColumns({c: unpacked(F.col(c), samples) for c in ("own", "edited", "after")}).select(
         "doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"),
         shown("edited").alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"),

@@ -37,17 +37,13 @@ def bucket_of(term: Column, rules: SearchRules = SearchRules()) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(rules.term_buckets)).cast("int")
 
 
-def blocks(postings: DataFrame, extensions: DataFrame, term_stats: DataFrame, stats: DataFrame,
-           rules: SearchRules = SearchRules()) -> DataFrame:
-    """(bucket, term, level, slot, bound, least, postings, entries) with entries of (chunk_id, extension,
-    impact), their greatest and least impact and their number.
+def blocks(postings: DataFrame, term_stats: DataFrame, stats: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
+    """(bucket, term, level, slot, bound, least, postings, entries) with entries of (chunk_id, impact), their greatest and least impact and their number.
 
     A term of few postings is one block. Others are cut by level of impact and, so that no block grows
-    with the corpus, into as many slots as their document frequency asks for. ``extensions`` has chunk_id
-    and extension.
+    with the corpus, into as many slots as their document frequency asks for.
     """
     counted = lexical.with_document_frequency(postings, term_stats, stats).join(
-        extensions.select("chunk_id", "extension"), "chunk_id", "left").join(
         F.broadcast(stats.select("average_length")), F.lit(True))
     rare = F.col("df") <= rules.block_postings
     slots = F.ceil(F.col("df") / rules.block_postings)
@@ -55,7 +51,7 @@ def blocks(postings: DataFrame, extensions: DataFrame, term_stats: DataFrame, st
         "term", bucket_of(F.col("term"), rules).alias("bucket"),
         F.when(rare, 0).otherwise(F.floor(F.col("impact") * rules.impact_levels)).cast("int").alias("level"),
         F.when(rare, 0).otherwise(F.pmod(F.xxhash64("chunk_id"), slots)).cast("int").alias("slot"),
-        F.struct("chunk_id", "extension", "impact").alias("entry"))
+        F.struct("chunk_id", "impact").alias("entry"))
     spread = placed.withColumn("part", F.pmod(F.xxhash64("term", "slot"), F.lit(rules.bucket_parts)).cast("int")).repartition(
         "bucket", "part")
     return spread.groupBy("bucket", "part", "term", "level", "slot").agg(
@@ -69,10 +65,12 @@ def read_buckets(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return blocks.where(F.col("bucket").isin(wanted))
 
 
-def _entries(found: DataFrame, eligible: Column) -> DataFrame:
-    """One row per entry of joined blocks, with what the entry adds to the query's score."""
+def _entries(found: DataFrame, eligible: DataFrame | None) -> DataFrame:
+    """One row per entry of joined blocks, with what the entry adds to the query's score. ``eligible`` names the
+    chunks that a filter leaves, if there is one."""
     kept = [c for c in found.columns if c not in ("entries", "bound", "least", "postings", "level", "slot")]
-    return found.select(*kept, F.inline("entries")).where(eligible).withColumn("part", F.col("gain") * F.col("impact"))
+    rows = found.select(*kept, F.inline("entries")).withColumn("part", F.col("gain") * F.col("impact"))
+    return rows if eligible is None else rows.join(eligible, "chunk_id", "left_semi")
 
 
 def floors(sums: DataFrame, rules: SearchRules) -> DataFrame:
@@ -101,7 +99,7 @@ def bounded_terms(read: DataFrame, weighed: DataFrame, filtered: bool, rules: Se
     return stored(placed.withColumn("others", F.sum(F.when(~F.col("essential"), bound).otherwise(0.0)).over(whole)), "terms")
 
 
-def candidates(read: DataFrame, bounded: DataFrame, eligible: Column, rules: SearchRules) -> DataFrame:
+def candidates(read: DataFrame, bounded: DataFrame, eligible: DataFrame | None, rules: SearchRules) -> DataFrame:
     """(query_id, chunk_id, sum) of the chunks that can be among the first, with their sums over the essential
     terms. An entry leaves its task only if its chunk could reach the floor with all that other terms
     add at most. The sums then raise the floor, and few chunks are left."""
@@ -120,15 +118,15 @@ def candidates(read: DataFrame, bounded: DataFrame, eligible: Column, rules: Sea
         "query_id", "chunk_id", "sum")
 
 
-def top_scores(blocks: DataFrame, weighed: DataFrame, eligible: Column | None = None,
+def top_scores(blocks: DataFrame, weighed: DataFrame, eligible: DataFrame | None = None,
                rules: SearchRules = SearchRules()) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks that can be among the first ``branch_limit`` of a query.
 
-    ``weighed`` has query_id, term and gain; ``eligible`` is a condition on an entry's extension."""
-    filtered, eligible = eligible is not None, F.lit(True) if eligible is None else eligible
+    ``weighed`` has query_id, term and gain; ``eligible`` names the chunks (chunk_id) that a
+    filter leaves."""
     terms = stored(weighed.withColumn("bucket", bucket_of(F.col("term"), rules)), "query-terms")
     read = read_buckets(blocks, terms)
-    bounded = bounded_terms(read, terms, filtered, rules)
+    bounded = bounded_terms(read, terms, eligible is not None, rules)
     able = stored(candidates(read, bounded, eligible, rules), "candidates")
     others = _entries(read.join(bounded.where(~F.col("essential")), ["bucket", "term"]), eligible).select(
         "query_id", "chunk_id", "part")

@@ -52,7 +52,7 @@ def bm25_top(blocks: DataFrame, query_terms: DataFrame, term_stats: DataFrame,
              extension: str | None = None) -> DataFrame:
     """The sparse branch: (query_id, chunk_id, rank, score), best first. Only chunks that can be
     among the first get a score and a name."""
-    eligible = extension_matches(F.col("extension"), extension) if filters(extension) else None
+    eligible = meta.where(extension_matches(F.col("extension"), extension)).select("chunk_id") if filters(extension) else None
     scored = impacts.top_scores(blocks, impacts.gains(query_terms, term_stats, stats), eligible, rules).where("score > 0")
     located = scored.join(meta.select(*HIT_META), "chunk_id")
     return first_per_query(located, ["query_id"], branch_order(), rules.branch_limit).select(

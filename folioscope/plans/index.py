@@ -31,7 +31,7 @@ def index_chunks(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     elif "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     frequency = lexical.document_frequency(postings)
-    return Index(chunks, postings, frequency, stats, impacts.blocks(postings, chunks, frequency, stats))
+    return Index(chunks, postings, frequency, stats, impacts.blocks(postings, frequency, stats))
 
 
 def build_index(documents: DataFrame, embedder: dense.Embedder | None = dense.hashed_vectors,
@@ -64,7 +64,7 @@ def materialize(index: Index, path: str) -> Index:
     lexical.document_frequency(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
     lexical.corpus_stats(chunks, postings).write.mode("overwrite").parquet(
         f"{path}/corpus_stats")
-    impacts.blocks(postings, chunks, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(
+    impacts.blocks(postings, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(
         f"{path}/corpus_stats")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/impacts")
     return open_index(spark, path)
 

@@ -89,7 +89,7 @@ def rebuild(spark: SparkSession, listing: Callable[[], DataFrame], read: Callabl
         "chunks": chunks, "postings": lambda at: postings_of(at("chunks"), earlier),
         "term_stats": lambda at: lexical.document_frequency(at("postings")),
         "corpus_stats": lambda at: lexical.corpus_stats(at("chunks"), at("postings")),
-        "impacts": lambda at: impacts.blocks(at("postings"), at("chunks"), at("term_stats"), at("corpus_stats")),
+        "impacts": lambda at: impacts.blocks(at("postings"), at("term_stats"), at("corpus_stats")),
         "entries": lambda at: indexing.entries(facts, at("chunks")),
     }, manifest_of)
     current = _state(indexing.source_set_hash(_accepted(listing(), scan_rules)))

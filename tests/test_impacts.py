@@ -35,7 +35,7 @@ def corpus(spark):
     terms = spark.createDataFrame(asked, "query_id int, term string, weight double")
     frequency = document_frequency(held)
     folder = fresh_folder(spark, "impacts-test")
-    impacts.blocks(held, meta, frequency, stats, RULES).write.partitionBy("bucket").parquet(folder)
+    impacts.blocks(held, frequency, stats, RULES).write.partitionBy("bucket").parquet(folder)
     return held, meta, frequency, stats, terms, spark.read.parquet(folder)
 
 
@@ -75,7 +75,7 @@ def test_chunks_below_the_floor_are_not_scored(corpus):
     held, _, frequency, stats, terms, blocks = corpus
     weighed = impacts.gains(terms, frequency, stats).withColumn("bucket", impacts.bucket_of(F.col("term"), RULES))
     bounded = impacts.bounded_terms(blocks, weighed, False, RULES)
-    able = {(r["query_id"], r["chunk_id"]) for r in impacts.candidates(blocks, bounded, F.lit(True), RULES).collect()}
+    able = {(r["query_id"], r["chunk_id"]) for r in impacts.candidates(blocks, bounded, None, RULES).collect()}
     scores = {(r["query_id"], r["chunk_id"]): r["score"] for r in sparse.bm25_scores(held, terms, frequency, stats, RULES).collect()}
     assert len(able) < len(scores) / 2
     for query in {q for q, _ in scores}:

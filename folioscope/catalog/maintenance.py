@@ -11,7 +11,8 @@ from folioscope.operators import chunking, conversations, indexing, lifecycle
 from folioscope.session import fresh_folder, spread
 from folioscope.sources import decode, html, scan
 from folioscope.plans import rebuild
-from folioscope.streaming import deltas, diagnostics, freshness, incremental
+from folioscope.sources.snapshot import file_system, hadoop_path
+from folioscope.streaming import deltas, diagnostics, freshness, incremental, segments
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -694,9 +695,14 @@ def debounce_sessions(spark, sf):
 
 
 def _stream(spark, sf, table: str):
+    """A table as a stream, stored as one file or as a folder of parts."""
     schema = t.load(spark, sf, table).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .parquet(sf))
+    path = f"{sf}/{table}.parquet"
+    fs, jvm = file_system(spark, path)
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(hadoop_path(jvm, path)).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 
 def _run(spark, frame, mode: str = "append"):
@@ -786,20 +792,45 @@ def stream_freshness(spark, sf):
                                          F.max_by("generation", "batch").alias("generation"))
 
 
-@query("stream_index", SQL["prose_chunks"])
-def stream_index(spark, sf):
-    """Documents streamed into chunks and postings; equals the batch result."""
-    documents = _stream(spark, sf, "documents")
+def _versions(documents, text, seq, deleted):
+    """Document rows as the incremental index takes them."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
-    rows = documents.select(
+    return documents.select(
         F.concat(F.lit("/corpus\u0000"), name).alias("document_id"),
         F.concat(F.lit("/corpus/"), name).alias("path"), F.lit("/corpus").alias("root"),
         name.alias("file_name"), F.lit("md").alias("extension"),
-        F.lit(0).cast("long").alias("modified_at"), "text", F.col("doc_id").alias("seq"),
-        F.lit(False).alias("deleted"))
+        F.lit(0).cast("long").alias("modified_at"), text.alias("text"), seq.cast("long").alias("seq"),
+        deleted.alias("deleted"))
+
+
+@query("stream_index", SQL["prose_chunks"])
+def stream_index(spark, sf):
+    """Documents streamed into chunks and postings; equals the batch result."""
+    rows = _versions(_stream(spark, sf, "documents"), F.col("text"), F.col("doc_id"), F.lit(False))
     folder = fresh_folder(spark, "stream-index")
     incremental.incremental_index(rows, folder, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/state=0/chunks").select(
+    return incremental.current(spark, folder, "chunks").select(
         "file_name", "source_location", F.md5("content").alias("content_hash"))
 
 
+_REVISED = """(SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+    THEN 'Withheld until reviewed.' ELSE text END AS text FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)) AS revised"""
+
+
+@query("stream_index_labels", SQL["prose_chunks"].replace("FROM documents", f"FROM {_REVISED}"))
+def stream_index_labels(spark, sf):
+    """Documents, then what their labels say, streamed into one index: toxic documents are deleted, and texts
+    of low quality replaced by a notice. The notices come last but are older than the deletions, so a document
+    that is both stays deleted."""
+    folder = fresh_folder(spark, "stream-index")
+    labels = _stream(spark, sf, "labels").where("doc_id IS NOT NULL")
+    steps = (
+        _versions(_stream(spark, sf, "documents"), F.col("text"), F.lit(1), F.lit(False)),
+        _versions(labels.where("toxic = 1"), F.lit(None).cast("string"), F.lit(3), F.lit(True)),
+        _versions(labels.where("quality = 0"), F.lit("Withheld until reviewed."), F.lit(2), F.lit(False)))
+    for n, rows in enumerate(steps):
+        ahead = segments.states(spark, folder)
+        incremental.incremental_index(rows, folder, f"{folder}/checkpoint-{n}", first=ahead[-1] + 1 if ahead else 0).awaitTermination()
+    return incremental.current(spark, folder, "chunks").select(
+        "file_name", "source_location", F.md5("content").alias("content_hash"))

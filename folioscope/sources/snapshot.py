@@ -17,13 +17,13 @@ MANIFEST = ("base_id string, revision long, source_set_hash string, model_signat
 POINTER = "published.json"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
-def _path(jvm, text: str):
+def hadoop_path(jvm, text: str):
     return jvm.org.apache.hadoop.fs.Path(text)
 
 
@@ -37,7 +37,7 @@ def write_revision(spark: SparkSession, folder: str, revision: int,
     leaves nothing behind, and an earlier build of the revision is deleted only once the new one has
     its place. Renames are atomic on HDFS and local disks; an object store needs a committer of its
     own."""
-    fs, jvm = _fs(spark, folder)
+    fs, jvm = file_system(spark, folder)
     staging = f"{folder}/_staging/{uuid.uuid4()}"
     final, aside = f"{folder}/revision={revision}", f"{folder}/_staging/{uuid.uuid4()}"
 
@@ -53,16 +53,16 @@ def write_revision(spark: SparkSession, folder: str, revision: int,
             table.write.mode("errorifexists").partitionBy(*by).parquet(f"{staging}/{name}")
         manifest = manifest(written) if callable(manifest) else manifest
         manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staging}/manifest")
-        earlier = fs.exists(_path(jvm, final))
-        if earlier and not fs.rename(_path(jvm, final), _path(jvm, aside)):
+        earlier = fs.exists(hadoop_path(jvm, final))
+        if earlier and not fs.rename(hadoop_path(jvm, final), hadoop_path(jvm, aside)):
             raise OSError(f"could not move {final} aside")
-        if not fs.rename(_path(jvm, staging), _path(jvm, final)):
+        if not fs.rename(hadoop_path(jvm, staging), hadoop_path(jvm, final)):
             if earlier:
-                fs.rename(_path(jvm, aside), _path(jvm, final))
+                fs.rename(hadoop_path(jvm, aside), hadoop_path(jvm, final))
             raise OSError(f"could not move the snapshot to {final}")
     finally:
-        fs.delete(_path(jvm, staging), True)
-    fs.delete(_path(jvm, aside), True)
+        fs.delete(hadoop_path(jvm, staging), True)
+    fs.delete(hadoop_path(jvm, aside), True)
     return final
 
 
@@ -99,8 +99,8 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def published_revision(spark: SparkSession, folder: str) -> int | None:
-    fs, jvm = _fs(spark, folder)
-    if not fs.exists(_path(jvm, f"{folder}/{POINTER}")):
+    fs, jvm = file_system(spark, folder)
+    if not fs.exists(hadoop_path(jvm, f"{folder}/{POINTER}")):
         return None
     return json.loads(spark.read.text(f"{folder}/{POINTER}", wholetext=True).first()[0])["revision"]
 
@@ -112,14 +112,14 @@ def publish_revision(spark: SparkSession, folder: str, revision: int, expected_h
     The pointer is replaced by one atomic rename, so readers always see a revision. A stale build
     deletes its own revision.
     """
-    fs, jvm = _fs(spark, folder)
+    fs, jvm = file_system(spark, folder)
     published = published_revision(spark, folder)
     if published == revision:
         return False
     if expected_hash != current_hash or (published or 0) > revision:
-        fs.delete(_path(jvm, f"{folder}/revision={revision}"), True)
+        fs.delete(hadoop_path(jvm, f"{folder}/revision={revision}"), True)
         return False
-    aside = _path(jvm, f"{folder}/_staging/{uuid.uuid4()}.json")
+    aside = hadoop_path(jvm, f"{folder}/_staging/{uuid.uuid4()}.json")
     out = fs.create(aside, False)
     out.write(bytearray(json.dumps({"revision": revision}).encode()))
     out.close()
@@ -128,16 +128,16 @@ def publish_revision(spark: SparkSession, folder: str, revision: int, expected_h
     overwrite[0] = options.OVERWRITE
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(fs.makeQualified(aside), fs.makeQualified(_path(jvm, f"{folder}/{POINTER}")), overwrite)
+    files.rename(fs.makeQualified(aside), fs.makeQualified(hadoop_path(jvm, f"{folder}/{POINTER}")), overwrite)
     return True
 
 
 def retire(spark: SparkSession, folder: str) -> list[str]:
     """Deletes every revision but the published one, and leftovers of failed writes."""
-    fs, jvm = _fs(spark, folder)
+    fs, jvm = file_system(spark, folder)
     keep = published_revision(spark, folder)
     gone = []
-    for status in fs.listStatus(_path(jvm, folder)):
+    for status in fs.listStatus(hadoop_path(jvm, folder)):
         name = status.getPath().getName()
         stale = name == "_staging" or (
             name.startswith("revision=") and keep is not None and name != f"revision={keep}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -67,28 +68,45 @@ def feed(pending: str, inside: bool, started: bool, chunk: str, end: bool):
     return text[len(certain):], inside, started, pieces
 
 
-_DELTA_STATE = "pending string, inside boolean, started boolean, at long"
+_DELTA_STATE = "pending string, inside boolean, started boolean, at long, due long, early string"
 _DELTA = "stream_id string, seq long, stage string, text string"
 
 
+def _due(waiting: dict[int, tuple], due: int) -> Iterator[tuple]:
+    """Takes the deltas whose turn it is out of those that wait."""
+    while due in waiting:
+        yield waiting.pop(due)
+        due += 1
+
+
 def _split(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-    pending, inside, started, at = state.get if state.exists else ("", False, False, 0)
+    pending, inside, started, at, due, early = state.get if state.exists else ("", False, False, 0, 0, "[]")
+    waiting = {seq: tuple(delta) for seq, *delta in json.loads(early)}
+    for frame in frames:
+        for delta in frame.itertuples():
+            if delta.seq >= due:
+                text = None if pd.isna(delta.text) else delta.text
+                waiting.setdefault(int(delta.seq), (delta.stage, text, bool(delta.is_last)))
     rows = []
-    for delta in _in_order(frames, ["seq", "stage", "text", "is_last"]).itertuples():
-        pieces = [(None, delta.text)]
-        if delta.stage != "PLANNING":
-            pending, inside, started, pieces = feed(
-                pending, inside, started, delta.text or "", bool(delta.is_last))
-        for reasoning, text in pieces:
-            stage = {None: "PLANNING", True: "ANSWER_THINKING", False: "ANSWER"}[reasoning]
-            rows.append((key[0], at, stage, text))
+    for stage, text, is_last in _due(waiting, due):
+        due += 1
+        pieces = [(None, text)]
+        if stage != "PLANNING":
+            pending, inside, started, pieces = feed(pending, inside, started, text or "", is_last)
+        for reasoning, piece in pieces:
+            named = {None: "PLANNING", True: "ANSWER_THINKING", False: "ANSWER"}[reasoning]
+            rows.append((key[0], at, named, piece))
             at += 1
     if rows:
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "stage", "text"])
-    state.update((pending, inside, started, at))
+    state.update((pending, inside, started, at, due, json.dumps([(seq, *delta) for seq, delta in waiting.items()])))
 
 
 def reassemble(deltas: DataFrame) -> DataFrame:
-    """Deltas (stream_id, seq, stage, text, is_last) with reasoning told from answer text."""
+    """Deltas (stream_id, seq from 0, stage, text, is_last) with reasoning told from answer text.
+
+    A delta is written in its turn: one that is ahead waits in the state until those before it have come, in
+    whatever micro-batch, and one that comes again is left out.
+    """
     return deltas.groupBy("stream_id").applyInPandasWithState(
         _split, _DELTA, _DELTA_STATE, "append", GroupStateTimeout.NoTimeout)

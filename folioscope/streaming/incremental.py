@@ -7,52 +7,48 @@ from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules
 from folioscope.operators import chunking, lexical
+from folioscope.streaming import segments
+
+
+def newest_rows(batch: DataFrame) -> DataFrame:
+    """One row per document: the greatest seq, a deletion before other rows of the same seq."""
+    others = F.struct(*[c for c in batch.columns if c != "document_id"])
+    return batch.groupBy("document_id").agg(F.max_by(others, F.struct("seq", "deleted", "text")).alias("row")).select(
+        "document_id", "row.*")
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
                 rules: ChunkRules = ChunkRules()) -> None:
-    """Replaces the chunks and postings of the documents a batch touches.
+    """Adds a segment with the chunks and postings of the documents a batch touches.
 
-    ``batch``: document rows with seq and deleted. The seq of each document is kept, of deleted ones too,
-    so a row that comes late doesn't replace a newer one. The new state gets its own folder, so a batch
-    that is run again after a failure starts from the same previous state.
+    ``batch``: document rows with seq and deleted. What is written follows the batch, not the index; ``current``
+    reads the newest version of each document, so a row that comes late doesn't replace a newer one.
     """
-    latest = (batch.groupBy("document_id").agg(F.max_by(
-        F.struct(*[c for c in batch.columns if c != "document_id"]), "seq").alias("row"))
-        .select("document_id", "row.*"))
-    target = f"{folder}/state={number}"
-    if number > 0:
-        versions = spark.read.parquet(f"{folder}/state={number - 1}/versions")
-        known = versions.select("document_id", F.col("seq").alias("__known"))
-        latest = latest.join(known, "document_id", "left").where(
-            F.col("__known").isNull() | (F.col("seq") > F.col("__known"))).drop("__known")
-        versions = versions.join(latest.select("document_id"), "document_id", "left_anti").unionByName(
-            latest.select("document_id", "seq"))
-    else:
-        versions = latest.select("document_id", "seq")
-    versions.write.mode("overwrite").parquet(f"{target}/versions")
-    chunks = chunking.chunk_sections(
-        chunking.text_sections(latest.where(~F.col("deleted"))), rules)
-    if number > 0:
-        before = spark.read.parquet(f"{folder}/state={number - 1}/chunks").join(
-            latest.select("document_id"), "document_id", "left_anti")
-        chunks = before.unionByName(chunks)
-    chunks.write.mode("overwrite").parquet(f"{target}/chunks")
-    stored = spark.read.parquet(f"{target}/chunks")
-    if number > 0:
-        earlier = spark.read.parquet(f"{folder}/state={number - 1}/postings")
-        kept = earlier.join(stored.select("chunk_id"), "chunk_id", "left_semi")
-        fresh = stored.join(earlier.select("chunk_id").distinct(), "chunk_id", "left_anti")
-        postings = kept.unionByName(lexical.chunk_postings(fresh))
-    else:
-        postings = lexical.chunk_postings(stored)
-    postings.write.mode("overwrite").parquet(f"{target}/postings")
+    rows = newest_rows(batch).persist()
+
+    def chunks(_) -> DataFrame:
+        return chunking.chunk_sections(chunking.text_sections(rows.where(~F.col("deleted"))), rules)
+
+    def postings(written) -> DataFrame:
+        cut = written("chunks")
+        return lexical.chunk_postings(cut).join(cut.select("chunk_id", "document_id"), "chunk_id")
+
+    try:
+        segments.add(spark, folder, number, rows, {"chunks": chunks, "postings": postings})
+    finally:
+        rows.unpersist()
+
+
+def current(spark: SparkSession, folder: str, table: str, of: DataFrame | None = None) -> DataFrame:
+    """``chunks`` or ``postings`` as all batches so far leave them, of some documents (document_id) if asked."""
+    return segments.newest(spark, folder, table, of)
 
 
 def incremental_index(documents: DataFrame, folder: str, checkpoint: str,
-                      rules: ChunkRules = ChunkRules()):
-    """Starts the stream; the result after all batches equals a full build."""
+                      rules: ChunkRules = ChunkRules(), first: int = 0):
+    """Starts the stream; the result after all batches equals a full build. ``first`` is the number of the
+    first batch, where an earlier stream has written to the folder."""
     spark = documents.sparkSession
     return (documents.writeStream
-            .foreachBatch(lambda batch, n: apply_batch(spark, batch, n, folder, rules))
+            .foreachBatch(lambda batch, n: apply_batch(spark, batch, first + n, folder, rules))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

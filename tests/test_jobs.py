@@ -341,20 +341,3 @@ def test_a_changed_file_in_an_ignored_folder_does_not_count(spark):
     kept = ("a.md", 3, 1)
     assert hashed(kept) == hashed(kept, ("x/node_modules/b.js", 5, 2))
     assert hashed(kept) != hashed(kept, ("x/b.js", 5, 2))
-
-
-def test_a_late_row_does_not_replace_a_newer_one(spark, tmp_path):
-    from folioscope.streaming import incremental
-
-    schema = ("document_id string, path string, root string, file_name string, extension string, modified_at long,"
-              " text string, seq long, deleted boolean")
-
-    def batch(number, *rows):
-        made = [(d, f"/r/{d}", "/r", f"{d}.md", "md", 1, text, seq, gone) for d, seq, text, gone in rows]
-        incremental.apply_batch(spark, spark.createDataFrame(made, schema), number, str(tmp_path))
-        return {r.document_id: r.content for r in spark.read.parquet(f"{tmp_path}/state={number}/chunks").collect()}
-
-    assert batch(0, ("a", 5, "newest text of a", False), ("b", 1, "first text of b", False)).keys() == {"a", "b"}
-    got = batch(1, ("a", 3, "stale text of a", False), ("b", 2, None, True))
-    assert got == {"a": "newest text of a"}
-    assert batch(2, ("b", 1, "first text of b", False), ("a", 6, "the text of a now", False)) == {"a": "the text of a now"}

@@ -197,3 +197,10 @@ BEARER_PATTERN = r"(?i)bearer\s+\S+"
 API_KEY_PATTERN = r"(?i)(api[_ -]?key|authorization)\s*[:=]\s*\S+"
 SENSITIVE_ATTRIBUTE_PARTS = ("key", "authorization", "prompt", "content", "chunktext", "body")
 REDACTED = "[REDACTED]"
+
+# Passages inside a hit. Characters of a span; lines of a window, and lines from one window to
+# the next; least similarity; what length takes off a span's similarity, and at most.
+SPAN_SHORTEST, SPAN_LONGEST = 8, 700
+SPAN_WINDOW, SPAN_STRIDE = 4, 2
+SPAN_THRESHOLD = 0.18
+SPAN_PENALTY, SPAN_PENALTY_LENGTH, SPAN_PENALTY_MOST = 0.018, 90.0, 0.055

@@ -10,36 +10,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import fixed
 from folioscope.operators import dense
 
-_PARTS = (
-    re.compile(r"\S.*?(?=\r?\n\s*\r?\n|\Z)", re.S),  # paragraphs
-    re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|[。！？]+|\n|\Z)", re.S))  # sentences of a paragraph
 _LINE = re.compile(r"[^\r\n]*[^\r\n\s][^\r\n]*")
-#: Characters of a span; lines of a window, and lines from one window to the next.
-SHORTEST, LONGEST, WINDOW, STRIDE = 8, 700, 4, 2
+_NOT_SPACE = re.compile(r"\S")
+#: A sentence reaches to its closing marks and the space after them, to a full-width mark, or to the end of a line.
+_SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|[。！？]+|\n|\Z)", re.S)
+
+
+def _paragraphs(content: str, lines: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Lines with nothing but one line break between them, from the first sign that is no space."""
+    first = 0
+    for n in range(1, len(lines) + 1):
+        if n == len(lines) or content.count("\n", lines[n - 1][1], lines[n][0]) > 1:
+            yield _NOT_SPACE.search(content, lines[first][0]).start(), lines[n - 1][1]
+            first = n
 
 
 def _spans(content: str) -> Iterator[tuple[int, int]]:
-    paragraph, sentence = _PARTS
-    for whole in paragraph.finditer(content):
-        yield whole.span()
-        yield from (m.span() for m in sentence.finditer(content, *whole.span()))
     lines = [m.span() for m in _LINE.finditer(content)]
+    for start, end in _paragraphs(content, lines):
+        yield start, end
+        yield from (m.span() for m in _SENTENCE.finditer(content, start, end))
     yield from lines
-    for window in (lines[i:i + WINDOW] for i in range(0, len(lines) - 1, STRIDE)):
+    for at in range(0, len(lines) - 1, fixed.SPAN_STRIDE):
+        window = lines[at:at + fixed.SPAN_WINDOW]
         yield window[0][0], window[-1][1]
 
 
+def _fits(start: int, end: int) -> bool:
+    return fixed.SPAN_SHORTEST <= end - start <= fixed.SPAN_LONGEST
+
+
 def candidate_spans(content: str) -> list[tuple[int, int]]:
     """Paragraphs, their sentences, lines, and windows of lines of the whole content, each once and
     without space around; the whole content if none has a fitting length."""
     inner = [(a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip()))
              for a, b in _spans(content) for t in [content[a:b]]]
-    fitting = dict.fromkeys(s for s in inner if SHORTEST <= s[1] - s[0] <= LONGEST)
+    fitting = dict.fromkeys(s for s in inner if _fits(*s))
     text = content.strip()
     whole = content.find(text)
-    return list(fitting) or ([(whole, whole + len(text))] if SHORTEST <= len(text) <= LONGEST else [])
+    return list(fitting) or ([(whole, whole + len(text))] if _fits(0, len(text)) else [])
 
 
 def highlights(hits: DataFrame, query_vectors: DataFrame, limit: int = 3,
@@ -64,8 +76,9 @@ def highlights(hits: DataFrame, query_vectors: DataFrame, limit: int = 3,
                 similarity = np.maximum(0.0, np.divide(
                     vectors @ query, norms, out=np.zeros(len(spans)), where=norms > 0))
                 start, end = np.array(spans).T
-                rank = similarity - np.minimum(0.055, np.log1p((end - start) / 90.0) * 0.018)
-                left = np.flatnonzero(similarity >= 0.18)
+                rank = similarity - np.minimum(fixed.SPAN_PENALTY_MOST, np.log1p(
+                    (end - start) / fixed.SPAN_PENALTY_LENGTH) * fixed.SPAN_PENALTY)
+                left = np.flatnonzero(similarity >= fixed.SPAN_THRESHOLD)
                 left = left[np.argsort(-rank[left], kind="stable")]
                 chosen = []
                 while len(left) and len(chosen) < limit:

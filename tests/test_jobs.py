@@ -257,6 +257,14 @@ def test_highlights(spark):
     assert "retry policy" in content[spans[0].start:spans[0].end]
 
 
+def test_spans_of_a_hit():
+    content = "  First one. Second one!\r\n \r\nA line here\nanother line there\n"
+    assert [content[a:b] for a, b in highlights.candidate_spans(content)] == [
+        "First one. Second one!", "First one.", "Second one!", "A line here\nanother line there", "A line here",
+        "another line there", "First one. Second one!\r\n \r\nA line here\nanother line there"]
+    assert highlights.candidate_spans("short") == [] and highlights.candidate_spans(" \n ") == []
+
+
 def test_sql_helpers(spark):
     tx.register_sql_functions(spark)
     row = spark.sql("SELECT chunk_tokens(''), prompt_tokens(''), chunk_tokens('连接db'),"

@@ -100,19 +100,11 @@ def _features(automaton: ahocorasick.Automaton, texts: pa.Array) -> tuple[np.nda
     return values.reshape(-1, 2), [m for _, m, _ in rows]
 
 
-def _core(sample: DataFrame) -> DataFrame:
-    """Adds a value that near copies share: the least hash of their longer words."""
-    return sample.withColumn("core", F.array_min(F.transform(F.filter(
-        F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 5), lambda w: F.xxhash64(w))))
-
-
 def learn(sample: DataFrame, per_class: int = PER_CLASS, entries: int = ENTRIES,
           exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learns from (text, label) rows. Near copies count once, lest the words of a much copied
-    document seem telling. Only counts of at most ``entries`` * 8 words and two numbers for each of
-    the sampled documents come to the driver."""
-    once = _core(sample).groupBy("label", F.coalesce("core", F.xxhash64("text")).alias("core")).agg(
-        F.min("text").alias("text")).select("text", "label")
+    """Learns from (text, label) rows, all of them; exact copies count once. Only counts of at most ``entries`` * 8
+    words and two numbers for each of the sampled documents come to the driver."""
+    once = sample.select("text", "label").distinct()
 
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

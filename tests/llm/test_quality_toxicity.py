@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,26 @@ def test_held_out_rows_are_not_learned(spark):
     assert got == {i: i % 2 for i in range(100) if zlib.crc32(str(i).encode()) % 5}
 
 
+def test_sample_is_bounded_by_rows(spark):
+    labels = spark.range(10).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    documents = spark.range(20_000).select((F.when(F.col("id") < 15_000, 3).otherwise(F.col("id") % 10)).alias("doc_id"),
+                                           F.col("id").cast("string").alias("text"))
+    sizes = {r["label"]: r["count"] for r in labelled_sample(
+        documents, labels, "toxic", F.lit(True), 1000).groupBy("label").count().collect()}
+    assert all(800 < n < 1200 for n in sizes.values()) and len(sizes) == 2
+    assert labelled_sample(documents, labels, "toxic", F.lit(True), 100_000).count() == 20_000
+
+
+def test_texts_that_share_words_are_all_learned(spark):
+    """One long word in common makes no copy; exact copies count once."""
+    rows = [(i, f"commonword common {'bad' if i % 2 else 'ok'}{chr(97 + i % 26)}{chr(97 + i // 26)} zut" if i % 2 else
+             f"commonword kind {chr(97 + i % 26)}{chr(97 + i // 26)}", i % 2) for i in range(200)]
+    once = toxicity.learn(helpers.frame(spark, rows, "doc_id long, text string, label int"))
+    assert abs(once.weights[" zut "] - math.log((100 + 0.5) / 101 / (0.5 / 101))) < 1e-12
+    twice = toxicity.learn(helpers.frame(spark, rows + rows, "doc_id long, text string, label int"))
+    assert twice.weights == once.weights
+
+
 def test_features_are_counts_of_neighbours():
     import numpy as np
 

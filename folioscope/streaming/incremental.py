@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from folioscope.config import ChunkRules
 from folioscope.operators import chunking, lexical
+from folioscope.session import stored
 from folioscope.streaming import segments
 
 
 def newest_rows(batch: DataFrame) -> DataFrame:
-    """One row per document: the greatest seq, a deletion before other rows of the same seq."""
+    """One row per document: the greatest seq, a deletion before other rows of the same seq. Only documents that
+    come more than once are shuffled with their texts; rows without an id are taken as they are."""
+    repeated = stored(batch.groupBy("document_id").count().where("count > 1").select("document_id"), "repeated")
     others = F.struct(*[c for c in batch.columns if c != "document_id"])
-    return batch.groupBy("document_id").agg(F.max_by(others, F.struct("seq", "deleted", "text")).alias("row")).select(
-        "document_id", "row.*")
+    chosen = batch.join(repeated, "document_id", "left_semi").groupBy("document_id").agg(
+        F.max_by(others, F.struct("seq", "deleted", "text")).alias("row")).select("document_id", "row.*")
+    return batch.join(repeated, "document_id", "left_anti").unionByName(chosen)
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
@@ -24,7 +28,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
     ``batch``: document rows with seq and deleted. What is written follows the batch, not the index; ``current``
     reads the newest version of each document, so a row that comes late doesn't replace a newer one.
     """
-    rows = newest_rows(batch).persist()
+    rows = newest_rows(batch)
 
     def chunks(_) -> DataFrame:
         return chunking.chunk_sections(chunking.text_sections(rows.where(~F.col("deleted"))), rules)
@@ -33,10 +37,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
         cut = written("chunks")
         return lexical.chunk_postings(cut).join(cut.select("chunk_id", "document_id"), "chunk_id")
 
-    try:
-        segments.add(spark, folder, number, rows, {"chunks": chunks, "postings": postings})
-    finally:
-        rows.unpersist()
+    segments.add(spark, folder, number, rows, {"chunks": chunks, "postings": postings}, spread=("postings",))
 
 
 def current(spark: SparkSession, folder: str, table: str, of: DataFrame | None = None) -> DataFrame:

@@ -73,20 +73,23 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select("document_id", "segment"), ["document_id", "segment"], "left_anti")
 
 
-def _write(frame: DataFrame, folder: str, table: str, name: str, buckets: int) -> str:
-    """Files follow the bytes of a bucket: Spark splits large ones and puts small ones together."""
+def _write(frame: DataFrame, folder: str, table: str, name: str, buckets: int, spread: bool = False) -> str:
+    """Files follow the bytes of a bucket: Spark splits large ones and puts small ones together. Rows that are
+    ``spread`` already, as a shuffle has left them, are written by the tasks that hold them."""
     plain = frame.drop("segment", "bucket")
     placed = plain.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
-    placed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(
-        f"{folder}/{table}/segment={name}")
+    if not spread:
+        placed = placed.hint("rebalance", F.col("bucket"))
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{table}/segment={name}")
     return plain.schema.add("segment", StringType()).add("bucket", IntegerType()).json()
 
 
 def add(spark: SparkSession, folder: str, number: int, versions: DataFrame,
         tables: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]], fan: int = FAN,
-        buckets: int = BUCKETS) -> None:
+        buckets: int = BUCKETS, spread: tuple[str, ...] = ()) -> None:
     """Adds a batch: ``versions`` (document_id, seq, deleted; a document once) and the rows of each table, all with
-    a document_id. A table is derived from tables before it, which it asks for by name.
+    a document_id. A table is derived from tables before it, which it asks for by name; those named in ``spread``
+    end in a shuffle and are not shuffled again.
 
     A batch that is run again after a failure starts from the state before it and writes the same names.
     """
@@ -99,7 +102,7 @@ def add(spark: SparkSession, folder: str, number: int, versions: DataFrame,
         return _read(spark, folder, table, [own], schemas[table]).drop("segment", "bucket")
 
     for table, derive in tables.items():
-        schemas[table] = _write(derive(written), folder, table, own.name, buckets)
+        schemas[table] = _write(derive(written), folder, table, own.name, buckets, table in spread)
     live = [*live, own]
     while len(live) >= fan and len({s.level for s in live[-fan:]}) == 1:
         live = [*live[:-fan], _merge(spark, folder, live[-fan:], schemas, buckets)]

@@ -34,8 +34,9 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str,
         return chunking.chunk_sections(chunking.text_sections(rows.where(~F.col("deleted"))), rules)
 
     def postings(written) -> DataFrame:
-        cut = written("chunks")
-        return lexical.chunk_postings(cut).join(cut.select("chunk_id", "document_id"), "chunk_id")
+        # the document goes along in the key, so that postings are grouped where their texts are
+        cut = lexical.indexed_text(written("chunks")).withColumn("owner", F.struct("document_id", "chunk_id"))
+        return lexical.weighted_postings(cut, "owner", "indexed_text").select("owner.*", "term", "weight", "doc_length")
 
     segments.add(spark, folder, number, rows, {"chunks": chunks, "postings": postings}, spread=("postings",))
 

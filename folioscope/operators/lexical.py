@@ -15,32 +15,41 @@ def indexed_text(chunks: DataFrame) -> DataFrame:
         "\n", "file_name", "source_location", "content"))
 
 
-def with_terms(texts: DataFrame, text: str, query: bool = False) -> DataFrame:
-    """Adds ``terms``: every term occurrence of the text with its weight.
+def _normalized(texts: DataFrame, text: str) -> DataFrame:
+    """Adds ``__norm``, the normalised text. This step goes through Arrow, and Spark forgets a partitioning there."""
+    return texts.withColumn("__split", tx.split_camel(F.col(text))).withColumn(
+        "__norm", tx.normalize_text(F.col("__split"))).drop("__split")
 
-    The steps are columns of their own, so that each is computed once per row.
-    """
+
+def _terms_of_normalized(texts: DataFrame, query: bool) -> DataFrame:
     weights = QUERY_WEIGHTS if query else DOCUMENT_WEIGHTS
     return (texts
-            .withColumn("__split", tx.split_camel(F.col(text)))
-            .withColumn("__norm", tx.normalize_text(F.col("__split")))
             .withColumn("__compact", F.regexp_replace("__norm", r"\s+", ""))
             .withColumn("__runs", F.regexp_extract_all("__norm", F.lit(r"[\p{IsHan}]+"), 0))
             .withColumn("terms", F.concat(
                 tx.latin_terms(F.col("__norm"), weights),
                 tx.han_terms(F.col("__runs"), weights),
                 tx.concept_terms(F.col("__compact"), weights)))
-            .drop("__split", "__norm", "__compact", "__runs"))
+            .drop("__norm", "__compact", "__runs"))
+
+
+def with_terms(texts: DataFrame, text: str, query: bool = False) -> DataFrame:
+    """Adds ``terms``: every term occurrence of the text with its weight.
+
+    The steps are columns of their own, so that each is computed once per row.
+    """
+    return _terms_of_normalized(_normalized(texts, text), query)
 
 
 def weighted_postings(texts: DataFrame, key: str, text: str, query: bool = False) -> DataFrame:
     """(key, term, weight, doc_length), one row per distinct term of a text.
 
-    The texts are spread by key before they are taken apart. A text is a fraction of the size of
-    its postings, and grouping by (key, term), like everything later done per key, then needs no
+    The normalised texts are spread by key before they are taken apart. A text is a fraction of the size
+    of its postings, and grouping by (key, term), like everything later done per key, then needs no
     further exchange.
     """
-    terms = (with_terms(texts.repartition(key).select(key, text), text, query)
+    spread = _normalized(texts.select(key, text), text).select(key, "__norm").repartition(key)
+    terms = (_terms_of_normalized(spread, query)
              .withColumn("doc_length",
                          F.greatest(F.lit(1.0), tx.sum_of_weights(F.col("terms"))))
              .select(key, "doc_length", F.inline_outer("terms"))

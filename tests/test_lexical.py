@@ -88,3 +88,11 @@ def test_df_tfidf_norm_and_stats(spark):
     norms = {r.chunk_id: r.norm for r in lexical.document_stats(weighted).collect()}
     want = math.sqrt(sum(v * v for (c, _), v in got.items() if c == "c1"))
     assert norms["c1"] == pytest.approx(want)
+
+
+def test_postings_take_one_exchange(spark):
+    from folioscope.operators import lexical
+
+    texts = spark.createDataFrame([("a", "someName and some words"), ("b", "words")], "id string, text string")
+    plan = lexical.weighted_postings(texts, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -43,10 +43,11 @@ class SearchRules:
     # A term's postings are spread over this many join keys, so that a term found in a third of
     # the corpus is not one reducer's work.
     term_salts: int = 16
-    # Folders that postings by term are stored in, and files a task writes of each; a corpus of more
-    # terms takes more of them.
+    # Folders that postings by term are stored in; a corpus of more terms takes more of them. Each is
+    # written in this many parts at least, and in more where a part would exceed part_postings.
     term_buckets: int = 16
     bucket_parts: int = 4
+    part_postings: int = 4_000_000
     # Postings of a block, and levels of impact per unit.
     block_postings: int = 256
     impact_levels: int = 4

@@ -42,19 +42,33 @@ def blocks(postings: DataFrame, term_stats: DataFrame, stats: DataFrame, rules:
 
     A term of few postings is one block. Others are cut by level of impact and, so that no block grows
     with the corpus, into as many slots as their document frequency asks for.
+
+    Postings are shuffled once. The frequencies of hot terms are shipped, and their postings are spread by
+    slot; all postings of another term meet in one task, which counts them. The parts of a bucket grow with
+    the number of postings, so that a task's share doesn't.
     """
-    counted = lexical.with_document_frequency(postings, term_stats, stats).join(
-        F.broadcast(stats.select("average_length")), F.lit(True))
-    rare = F.col("df") <= rules.block_postings
-    slots = F.ceil(F.col("df") / rules.block_postings)
-    placed = counted.withColumn("impact", impact(F.col("weight"), F.col("doc_length"), F.col("average_length"), rules)).select(
-        "term", bucket_of(F.col("term"), rules).alias("bucket"),
-        F.when(rare, 0).otherwise(F.floor(F.col("impact") * rules.impact_levels)).cast("int").alias("level"),
-        F.when(rare, 0).otherwise(F.pmod(F.xxhash64("chunk_id"), slots)).cast("int").alias("slot"),
-        F.struct("chunk_id", "impact").alias("entry"))
-    spread = placed.withColumn("part", F.pmod(F.xxhash64("term", "slot"), F.lit(rules.bucket_parts)).cast("int")).repartition(
+    total = term_stats.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("total"))
+    known = postings.join(F.broadcast(lexical.hot_terms(term_stats, stats)), "term", "left").join(
+        F.broadcast(stats.select("average_length")), F.lit(True)).join(F.broadcast(total), F.lit(True))
+
+    def slot(df: Column, chunk: str) -> Column:
+        return F.when(df <= rules.block_postings, 0).otherwise(
+            F.pmod(F.xxhash64(chunk), F.ceil(df / rules.block_postings))).cast("int")
+
+    parts = F.greatest(F.lit(rules.bucket_parts), F.ceil(F.col("total") / (rules.term_buckets * rules.part_postings)))
+    spread = known.select(
+        "term", "hot_df", bucket_of(F.col("term"), rules).alias("bucket"),
+        F.when(F.col("hot_df").isNull(), 0).otherwise(slot(F.col("hot_df"), "chunk_id")).alias("hot_slot"), parts.alias("parts"),
+        F.struct("chunk_id", impact(F.col("weight"), F.col("doc_length"), F.col("average_length"), rules).alias("impact")).alias(
+            "entry")).withColumn("part", F.pmod(F.xxhash64("term", "hot_slot"), F.col("parts")).cast("int")).drop("parts").repartition(
         "bucket", "part")
-    return spread.groupBy("bucket", "part", "term", "level", "slot").agg(
+    here = F.count(F.lit(1)).over(W.partitionBy("bucket", "part", "term", "hot_slot"))
+    counted = spread.withColumn("df", F.coalesce("hot_df", here))
+    rare = F.col("df") <= rules.block_postings
+    placed = counted.withColumn(
+        "level", F.when(rare, 0).otherwise(F.floor(F.col("entry.impact") * rules.impact_levels)).cast("int")).withColumn(
+        "slot", slot(F.col("df"), "entry.chunk_id"))
+    return placed.groupBy("bucket", "part", "term", "level", "slot").agg(
         F.max("entry.impact").alias("bound"), F.min("entry.impact").alias("least"),
         F.count(F.lit(1)).alias("postings"), F.collect_list("entry").alias("entries")).drop("part")
 

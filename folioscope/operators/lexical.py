@@ -81,19 +81,27 @@ def corpus_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
         .alias("average_length"))
 
 
+def hot_terms(term_stats: DataFrame, stats: DataFrame, hot_share: float = 0.01) -> DataFrame:
+    """(term, hot_df) of the terms that occur in more than ``hot_share`` of the chunks.
+
+    There can be at most (distinct terms per chunk / hot_share) such terms, however large the
+    corpus, so they may be shipped to the tasks.
+    """
+    sized = term_stats.join(F.broadcast(stats.select("documents")), F.lit(True))
+    return sized.where(F.col("df") > F.col("documents") * F.lit(hot_share)).select(
+        "term", F.col("df").alias("hot_df"))
+
+
 def with_document_frequency(postings: DataFrame, term_stats: DataFrame, stats: DataFrame,
                             hot_share: float = 0.01) -> DataFrame:
     """Adds df to every posting.
 
-    A term that occurs in more than ``hot_share`` of the chunks would make one reducer receive
-    all of its postings. There can be at most (distinct terms per chunk / hot_share) such terms,
-    however large the corpus, so they are shipped to the tasks. Postings of hot terms get a join
-    key of their own that matches nothing, which spreads them evenly through the second join.
+    A hot term would make one reducer receive all of its postings. Hot terms are shipped to the
+    tasks, and their postings get a join key of their own that matches nothing, which spreads
+    them evenly through the second join.
     """
-    sized = term_stats.join(F.broadcast(stats.select("documents")), F.lit(True))
-    is_hot = F.col("df") > F.col("documents") * F.lit(hot_share)
-    hot = sized.where(is_hot).select("term", F.col("df").alias("hot_df"))
-    cold = sized.where(~is_hot).select(F.col("term").alias("cold_key"), F.col("df").alias("cold_df"))
+    hot = hot_terms(term_stats, stats, hot_share)
+    cold = term_stats.select(F.col("term").alias("cold_key"), F.col("df").alias("cold_df"))
     marked = postings.join(F.broadcast(hot), "term", "left").withColumn(
         "join_key", F.when(F.col("hot_df").isNull(), F.col("term")).otherwise(
             F.concat(F.lit("\u0000"), F.xxhash64("chunk_id", "term").cast("string"))))

@@ -54,13 +54,13 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 def materialize(index: Index, path: str) -> Index:
     """Writes the index as tables under ``path`` and reads it back, so that searches start from
-    stored postings instead of from the texts. The statistics are derived from the postings just
-    written, not from the texts again."""
+    stored postings instead of from the texts. Postings are derived from the chunks just written, so
+    texts are cut into chunks once, and statistics from the postings just written."""
     spark = index.chunks.sparkSession
     index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
     chunks = spark.read.parquet(f"{path}/chunks")
+    lexical.chunk_postings(chunks).write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
     lexical.document_frequency(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
     lexical.corpus_stats(chunks, postings).write.mode("overwrite").parquet(
         f"{path}/corpus_stats")

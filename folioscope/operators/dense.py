@@ -139,16 +139,21 @@ def hashed_vectors(texts: list[str], dimension: int = 64) -> np.ndarray:
     import hashlib
     import re
 
-    places: dict[str, tuple[int, float]] = {}
+    class Places(dict):
+        """Word to position, words that count downwards after the others."""
+
+        def __missing__(self, word: str) -> int:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            self[word] = place = int(digest[:8], 16) % dimension + (0 if digest[8] < "8" else dimension)
+            return place
+
+    places = Places()
     out = np.zeros((len(texts), dimension), dtype=np.float32)
     for row, text in enumerate(texts):
-        for word in re.findall("[a-z0-9]{2,}", text.lower()):
-            place = places.get(word)
-            if place is None:
-                digest = hashlib.md5(word.encode()).hexdigest()
-                place = (int(digest[:8], 16) % dimension, 1.0 if digest[8] < "8" else -1.0)
-                places[word] = place
-            out[row, place[0]] += place[1]
+        found = [places[word] for word in re.findall("[a-z0-9]{2,}", text.lower())]
+        if found:
+            counts = np.bincount(found, minlength=2 * dimension)
+            out[row] = counts[:dimension] - counts[dimension:]
     return out
 
 

@@ -56,21 +56,20 @@ def blocks(postings: DataFrame, term_stats: DataFrame, stats: DataFrame, rules:
             F.pmod(F.xxhash64(chunk), F.ceil(df / rules.block_postings))).cast("int")
 
     parts = F.greatest(F.lit(rules.bucket_parts), F.ceil(F.col("total") / (rules.term_buckets * rules.part_postings)))
+    hot_slot = F.when(F.col("hot_df").isNull(), 0).otherwise(slot(F.col("hot_df"), "chunk_id"))
+    # what can be told from a posting again is not shuffled
     spread = known.select(
-        "term", "hot_df", bucket_of(F.col("term"), rules).alias("bucket"),
-        F.when(F.col("hot_df").isNull(), 0).otherwise(slot(F.col("hot_df"), "chunk_id")).alias("hot_slot"), parts.alias("parts"),
-        F.struct("chunk_id", impact(F.col("weight"), F.col("doc_length"), F.col("average_length"), rules).alias("impact")).alias(
-            "entry")).withColumn("part", F.pmod(F.xxhash64("term", "hot_slot"), F.col("parts")).cast("int")).drop("parts").repartition(
-        "bucket", "part")
-    here = F.count(F.lit(1)).over(W.partitionBy("bucket", "part", "term", "hot_slot"))
-    counted = spread.withColumn("df", F.coalesce("hot_df", here))
+        F.pmod(F.xxhash64("term", hot_slot), (parts * rules.term_buckets).cast("long")).alias("part"), "term", "hot_df", "chunk_id",
+        impact(F.col("weight"), F.col("doc_length"), F.col("average_length"), rules).alias("impact")).repartition("part")
+    here = F.count(F.lit(1)).over(W.partitionBy("part", "term", "hot_slot"))
+    counted = spread.withColumn("hot_slot", hot_slot).withColumn("df", F.coalesce("hot_df", here))
     rare = F.col("df") <= rules.block_postings
-    placed = counted.withColumn(
-        "level", F.when(rare, 0).otherwise(F.floor(F.col("entry.impact") * rules.impact_levels)).cast("int")).withColumn(
-        "slot", slot(F.col("df"), "entry.chunk_id"))
-    return placed.groupBy("bucket", "part", "term", "level", "slot").agg(
-        F.max("entry.impact").alias("bound"), F.min("entry.impact").alias("least"),
-        F.count(F.lit(1)).alias("postings"), F.collect_list("entry").alias("entries")).drop("part")
+    placed = counted.withColumn("bucket", bucket_of(F.col("term"), rules)).withColumn(
+        "level", F.when(rare, 0).otherwise(F.floor(F.col("impact") * rules.impact_levels)).cast("int")).withColumn(
+        "slot", slot(F.col("df"), "chunk_id"))
+    return placed.groupBy("part", "bucket", "term", "level", "slot").agg(
+        F.max("impact").alias("bound"), F.min("impact").alias("least"), F.count(F.lit(1)).alias("postings"),
+        F.collect_list(F.struct("chunk_id", "impact")).alias("entries")).drop("part")
 
 
 def read_buckets(blocks: DataFrame, terms: DataFrame) -> DataFrame:

@@ -122,10 +122,17 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("hard_negatives"))
 
 
+#: Code points of an item with fewer than three words that chunks are looked up by.
+GRAM = 8
+
+
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, chunk_id, file_name) for items whose text stands word for word in a chunk.
 
-    A chunk that holds an item holds the item's longest word; that word is the join key.
+    A chunk that holds an item holds the item's longest inner word as a whole word; that word is the join
+    key. The first and last word of an item may be parts of longer words in the chunk, so an item without
+    inner words is looked up by its first characters, wherever they stand. An empty item stands in every
+    chunk, a null one in none.
     """
     words = F.regexp_extract_all("text", F.lit(r"\w+"), 0)
     keyed = (load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"),
@@ -139,6 +146,14 @@ def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
         "content", F.lit(r"\w+"), 0))).alias("word"))
     near = held.join(keyed.select("item_id", "item", "word"), "word").select(
         "chunk_id", "item_id", "item")
+    short = keyed.where(F.col("word").isNull() & F.col("item").isNotNull()).select(
+        "item_id", "item", F.substring("item", 1, GRAM).alias("gram"))
+    # At most GRAM + 1 lengths; none where every item has inner words.
+    for row in short.select(F.length("gram").alias("n")).distinct().collect():
+        grams = F.array_distinct(F.regexp_extract_all("content", F.lit(f"(?s)(?=(.{{{row.n}}}))"), 1))
+        found = chunks.select("chunk_id", F.explode(grams).alias("gram")).join(
+            short.where(F.length("gram") == row.n), "gram")
+        near = near.unionByName(found.select("chunk_id", "item_id", "item"))
     return near.join(chunks.select("chunk_id", "file_name", "content"), "chunk_id").where(
         F.contains("content", "item")).select("item_id", "chunk_id", "file_name")
 

@@ -106,6 +106,13 @@ def in_sensitive_directory(rel_path: Column) -> Column:
     return F.exists(_directories(rel_path), lambda d: d.isin(*fixed.SENSITIVE_DIRECTORIES))
 
 
+def meets_ignored_first(rel_path: Column) -> Column:
+    """Whether a walk from the root meets an ignored directory, and none that is sensitive before it."""
+    directories = _directories(rel_path)
+    stops = F.filter(directories, lambda d: d.isin(*fixed.IGNORED_DIRECTORIES, *fixed.SENSITIVE_DIRECTORIES))
+    return F.coalesce(F.get(stops, F.lit(0)).isin(*fixed.IGNORED_DIRECTORIES), F.lit(False))
+
+
 def is_sensitive_file(name: Column) -> Column:
     key = F.lower(tx.strip(name))
     return (key.isin(*fixed.SENSITIVE_NAMES) | key.startswith(fixed.SENSITIVE_PREFIX)
@@ -154,9 +161,10 @@ def classify(files: DataFrame, registry: DataFrame, rules: ScanRules = ScanRules
     routed = route_readers(files, registry)
     guarded = F.lit(rules.skip_sensitive)
     depth = F.size(F.split("rel_path", "/"))
+    ignored = meets_ignored_first if rules.skip_sensitive else in_ignored_directory
     return routed.withColumn(
         "verdict",
-        F.when(in_ignored_directory(F.col("rel_path")), "IGNORED")
+        F.when(ignored(F.col("rel_path")), "IGNORED")
         .when(guarded & in_sensitive_directory(F.col("rel_path")), "SENSITIVE_DIRECTORY")
         .when(depth > rules.max_depth, "TOO_DEEP")
         .when(F.coalesce(F.col("is_link"), F.lit(False)) if "is_link" in files.columns

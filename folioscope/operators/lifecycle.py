@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,43 @@ def legal_events(events: DataFrame) -> DataFrame:
 
 
 STATES = ("EMPTY", "READY", "DIRTY", "BUILDING", "FAILED", "INCOMPATIBLE")
+#: A map of states is one number: the state that state i leads to stands in bits 3 i to 3 i + 2.
+_BITS = 3
+
+
+def _packed(reached) -> int:
+    return sum(int(state) << _BITS * i for i, state in enumerate(reached))
+
+
+def _at(packed: int, state: int) -> int:
+    return packed >> _BITS * state & (1 << _BITS) - 1
+
+
+def _composed(moves: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds to every move (a packed map) of a key what the moves up to it make together: ``before`` without it,
+    ``after`` with it. Rows are sorted by Spark and read once, so a key takes no memory and no call of its own."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = _packed(range(len(STATES)))
+        known: dict[tuple[int, int], int] = {}
+        last, reached = None, nothing
+        for batch in batches:
+            before, after = [], []
+            for *key, move in zip(*(batch.column(c).to_pylist() for c in (*keys, "move"))):
+                if key != last:
+                    last, reached = key, nothing
+                before.append(reached)
+                pair = (reached, move)
+                if pair not in known:
+                    known[pair] = _packed(_at(move, _at(reached, i)) for i in range(len(STATES)))
+                reached = known[pair]
+                after.append(reached)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*keys, order)), pa.array(before, pa.int32()), pa.array(after, pa.int32())],
+                names=[*keys, order, "before", "after"])
+
+    kinds = ", ".join(f"{c} {moves.schema[c].dataType.simpleString()}" for c in (*keys, order))
+    return moves.select(*keys, order, "move").repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(
+        walk, f"{kinds}, before int, after int")
 
 
 def with_preceding_status(events: DataFrame, width: int = 65_536) -> DataFrame:
@@ -46,39 +84,23 @@ def with_preceding_status(events: DataFrame, width: int = 65_536) -> DataFrame:
     status doesn't allow leaves it as it is.
 
     An event is a map from the six states to six states. Maps are composed inside buckets of ``seq``,
-    one carry per bucket tells where the next begins, and only then states are looked up: a base with
-    very many events is never one task.
+    then the buckets of a base, and only then states are looked up: a base with very many events is
+    never one task, and very many bases or buckets with few events each cost no more than their rows.
     """
-    step = {name: np.array([STATES.index(target) if s in sources else i for i, s in enumerate(STATES)])
-            for name, target, sources in TRANSITIONS}
-    known = events.where(F.col("event").isin(*step)).withColumn(
-        "__bucket", F.floor(F.col("seq") / F.lit(width)).cast("long"))
-    base, seq = (events.schema[c].dataType.simpleString() for c in ("base_id", "seq"))
-
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        reached, before, after = np.arange(len(STATES)), [], []
-        for name in rows["event"]:
-            before.append(reached.tolist())
-            reached = step[name][reached]
-            after.append(reached.tolist())
-        return rows.assign(before=before, after=after)[["base_id", "__bucket", "seq", "before", "after"]]
-
-    maps = known.select("base_id", "__bucket", "seq", "event").groupBy("base_id", "__bucket").applyInPandas(
-        compose, f"base_id {base}, __bucket long, seq {seq}, before array<int>, after array<int>")
-    buckets = maps.groupBy("base_id", "__bucket").agg(F.max_by("after", "seq").alias("through")).groupBy(
-        "base_id").agg(F.array_sort(F.collect_list(F.struct("__bucket", "through"))).alias("steps"))
-    walked = F.aggregate(
-        "steps", F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<bucket:bigint,start:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.get(x["through"], acc["state"]).alias("state"), F.concat(acc["out"], F.array(F.struct(
-                x["__bucket"].alias("bucket"), acc["state"].alias("start")))).alias("out")),
-        lambda acc: acc["out"])
-    starts = buckets.select("base_id", F.inline(walked)).withColumnRenamed("bucket", "__bucket")
-    states = F.array(*map(F.lit, STATES))
+    move = F.create_map(*[F.lit(x) for name, target, sources in TRANSITIONS for x in (name, _packed(
+        STATES.index(target) if s in sources else i for i, s in enumerate(STATES)))])
+    known = events.where(F.col("event").isin(*(name for name, _, _ in TRANSITIONS)))
+    moves = known.where(F.col("base_id").isNotNull() & F.col("seq").isNotNull()).select(
+        "base_id", F.floor(F.col("seq") / F.lit(width)).cast("long").alias("__bucket"), "seq",
+        F.element_at(move, F.col("event")).alias("move"))
+    maps = _composed(moves, ["base_id", "__bucket"], "seq")
+    buckets = maps.groupBy("base_id", "__bucket").agg(F.max_by("after", "seq").alias("move"))
+    starts = _composed(buckets, ["base_id"], "__bucket").select(
+        "base_id", "__bucket", F.col("before").bitwiseAND((1 << _BITS) - 1).alias("start"))
+    status = F.expr(f"shiftright(before, cast(start * {_BITS} AS int)) & {(1 << _BITS) - 1}")
     found = maps.join(starts, ["base_id", "__bucket"]).select(
-        "base_id", "seq", F.get(states, F.get("before", F.col("start"))).alias("from_status"))
-    return known.drop("__bucket").join(found, ["base_id", "seq"])
+        "base_id", "seq", F.get(F.array(*map(F.lit, STATES)), status).alias("from_status"))
+    return known.join(found, ["base_id", "seq"])
 
 
 def allocate_revisions(bases: DataFrame, requests: DataFrame) -> DataFrame:

@@ -319,6 +319,17 @@ def test_refused_events_leave_the_status(spark):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_bases_without_number_cost_no_call_each(spark):
+    from folioscope.operators import lifecycle
+
+    log = spark.createDataFrame([(f"b{i}", i, "begin") for i in range(40)] + [(None, 1, "begin"), ("b1", None, "begin"),
+                                ("b1", 7, "publish"), ("b1", 7, "publish")], "base_id string, seq int, event string")
+    found = lifecycle.with_preceding_status(log, 4)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = sorted(tuple(r) for r in found.select("base_id", "seq", "from_status").collect())
+    assert got == sorted([(f"b{i}", i, "EMPTY") for i in range(40)] + [("b1", 7, "BUILDING"), ("b1", 7, "READY")] * 2)
+
+
 def test_frames_in_any_order_give_one_result():
     class State:
         exists = False

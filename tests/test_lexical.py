@@ -96,3 +96,28 @@ def test_postings_take_one_exchange(spark):
     texts = spark.createDataFrame([("a", "someName and some words"), ("b", "words")], "id string, text string")
     plan = lexical.weighted_postings(texts, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_a_task_never_holds_the_postings_of_all_its_texts(spark):
+    rows = [(i % 40, f"alpha beta w{i} \u56fe\u8c31 alpha") for i in range(60)] + [(None, "gamma x1"), (None, "gamma x2"), (7, None), (8, "")]
+    found = lexical.weighted_postings(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    got = {(r["id"], r["term"]): (r["weight"], r["doc_length"]) for r in found.collect()}
+    assert got[(39, "alpha")][0] == 2.0 and got[(3, "alpha")][0] == 4.0 and got[(3, "w43")][0] == 1.0
+    assert got[(None, "gamma")] == (2.0, 2.0) and (None, "x2") in got
+    assert len(got) == len(found.collect())
+
+
+def test_postings_that_leave_in_parts_are_complete(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "BATCH", 2)
+    keys, texts = [1, 1, 2, 3, 3, 3, 4], ["aa bb cc", "aa", "aa bb dd ee", "ff", "ff", None, "!"]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+    batches = [pa.record_batch([pa.array([k]), pa.array([t], pa.string()), pa.array([[]], kind)], names=["key", "text", "terms"])
+               for k, t in zip(keys, texts)]
+    parts = list(lexical._counted(1.0, pa.int64(), iter(batches)))
+    got = sorted((r["key"], r["term"], r["weight"]) for b in parts for r in b.to_pylist())
+    assert len(parts) > 1 and got == [(1, "aa", 2.0), (1, "bb", 1.0), (1, "cc", 1.0), (2, "aa", 1.0), (2, "bb", 1.0),
+                                      (2, "dd", 1.0), (2, "ee", 1.0), (3, "ff", 2.0)]

@@ -87,3 +87,32 @@ def test_empty_tables(spark, corpus):
     _, meta, frequency, stats, terms, blocks = corpus
     assert sparse.bm25_top(blocks, terms.limit(0), frequency, stats, meta, RULES).count() == 0
     assert sparse.bm25_top(blocks.limit(0), terms, frequency, stats, meta, RULES).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 10_000])
+def test_blocks_don_t_depend_on_batches_or_on_terms_of_one_hash(size):
+    import pyarrow as pa
+
+    # terms a and b share a key and come mixed; c is hot, in two slots
+    rows = [(5, "ab"[i % 2], 0, None, f"c{i}", i / 10, i) for i in range(11)] + [
+        (key, "c", key - 8, 9, f"h{key}{i}", 0.3 * i, key - 8) for key in (8, 9) for i in range(4)] + [(12, "d", 0, None, "z", 1.0, 3)]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
+    names = ["key", "term", "hot_slot", "hot_df", "chunk_id", "impact", "hash"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + size]), kinds)], names=names)
+               for i in range(0, len(rows), size)]
+    got = [r for b in impacts._cut(RULES, iter(batches)) for r in b.to_pylist()]
+    df = {"a": 6, "b": 5, "c": 9, "d": 1}
+    want = {}
+    for _, term, _, _, chunk, impact, code in rows:
+        many = df[term] > RULES.block_postings
+        key = (term, int(impact * RULES.impact_levels) if many else 0, code % -(-df[term] // RULES.block_postings) if many else 0)
+        want.setdefault(key, []).append((chunk, impact))
+    assert {(r["term"], r["level"], r["slot"]): sorted((e["chunk_id"], e["impact"]) for e in r["entries"]) for r in got} == {
+        k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    assert all((r["bound"], r["least"], r["postings"]) == (max(x := [e["impact"] for e in r["entries"]]), min(x), len(x)) for r in got)
+
+
+def test_postings_are_sorted_once_for_blocks(spark, corpus):
+    held, _, frequency, stats, _, _ = corpus
+    plan = impacts.blocks(held, frequency, stats, RULES)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan

@@ -166,3 +166,26 @@ def test_salts_do_not_change_scores(spark):
         index.postings, terms, index.term_stats, index.corpus_stats,
         SearchRules(term_salts=salts)).collect())) for salts in (1, 16)]
     assert got[0] == got[1] and len(got[0]) == 360
+
+
+def test_best_of_a_block_takes_no_frame_per_query(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 8)).astype(np.float32)
+    vectors[rng.random(90) < 0.7] = vectors[0]
+    block = pd.DataFrame({"chunk_id": [f"c{i:02}" for i in rng.permutation(90)], "file_name": [f"f{i % 4}" for i in range(90)],
+                          "source_location": [f"L{i % 3}" for i in range(90)], "embedding": list(vectors)})
+    asked = dense._unit_rows(pd.Series([*rng.normal(size=(40, 8)), vectors[0], np.zeros(8)]))
+    ids = np.array([f"q{i}" for i in range(len(asked))], dtype=object)
+    rules, joined, concat = SearchRules(), [], pd.concat
+    monkeypatch.setattr(dense.pd, "concat", lambda parts, **kw: joined.append(len(parts)) or concat(parts, **kw))
+    got = dense._best_of_block(ids, asked, block, rules)
+    assert joined == [1]
+    scores = np.round(asked @ dense._unit_rows(block["embedding"]).T, rules.score_digits)
+    want = []
+    for q, line in zip(ids, scores):
+        hits = sorted((-s, r.file_name, r.source_location, r.chunk_id) for s, r in zip(line, block.itertuples()) if s >= rules.dense_threshold)
+        want += [(q, c, f, loc, -s) for s, f, loc, c in hits[:rules.branch_limit]]
+    assert list(got.itertuples(index=False, name=None)) == want

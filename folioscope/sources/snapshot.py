@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
+from folioscope.session import narrow_rows
 
 MANIFEST = ("base_id string, revision long, source_set_hash string, model_signature string,"
             " dimension int, chunking_version int, format_version int, built_at long")
@@ -50,7 +52,8 @@ def write_revision(spark: SparkSession, folder: str, revision: int,
                 table = table(written)
             # postings by term lie in folders by bucket, which searches read by name
             by = ["bucket"] if "bucket" in table.columns else []
-            table.write.mode("errorifexists").partitionBy(*by).parquet(f"{staging}/{name}")
+            with narrow_rows(spark) if by else nullcontext():
+                table.write.mode("errorifexists").partitionBy(*by).parquet(f"{staging}/{name}")
         manifest = manifest(written) if callable(manifest) else manifest
         manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staging}/manifest")
         earlier = fs.exists(hadoop_path(jvm, final))

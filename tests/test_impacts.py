@@ -116,3 +116,28 @@ def test_postings_are_sorted_once_for_blocks(spark, corpus):
     held, _, frequency, stats, _, _ = corpus
     plan = impacts.blocks(held, frequency, stats, RULES)._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and "collect_list" not in plan
+
+
+def test_blocks_are_written_without_measuring_each_row(spark, monkeypatch):
+    """Only while they are written, and the session's own limit stands afterwards, also after a failure."""
+    from folioscope.plans import index
+    from folioscope.session import narrow_rows
+
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    blocks = impacts.blocks
+    monkeypatch.setattr(impacts, "blocks", lambda *a: seen.append(spark.conf.get(limit, None)) or blocks(*a))
+    chunks = spark.createDataFrame(
+        [("c1", "/a", "a.md", "md", "L1", "some words")],
+        "chunk_id string, path string, file_name string, extension string, source_location string, content string")
+    built = index.index_chunks(chunks)
+    seen.clear()
+    stored = index.materialize(built, fresh_folder(spark, "narrow-test"))
+    assert seen == [str(2**31 - 1)] and stored.impacts.count() == stored.postings.count() > 0
+    assert spark.conf.get(limit, None) != str(2**31 - 1)
+    spark.conf.set(limit, "4MB")
+    try:
+        with pytest.raises(ZeroDivisionError), narrow_rows(spark):
+            1 / 0
+        assert spark.conf.get(limit) == "4MB"
+    finally:
+        spark.conf.unset(limit)

@@ -121,3 +121,38 @@ def test_postings_that_leave_in_parts_are_complete(spark, monkeypatch):
     got = sorted((r["key"], r["term"], r["weight"]) for b in parts for r in b.to_pylist())
     assert len(parts) > 1 and got == [(1, "aa", 2.0), (1, "bb", 1.0), (1, "cc", 1.0), (2, "aa", 1.0), (2, "bb", 1.0),
                                       (2, "dd", 1.0), (2, "ee", 1.0), (3, "ff", 2.0)]
+
+
+def test_capitals_that_begin_a_word(spark):
+    """As a boundary on both sides of nothing splits, without looking at every place of a text."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB1C d_é") for _ in range(rng.randrange(12))) for _ in range(400)] + ["aBCdEF", "XMLFile9Z", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+    assert rows.where(~tx.split_camel(F.col("t")).eqNullSafe(F.regexp_replace("t", both, " "))).count() == 0
+    assert not tx.CAMEL_START.startswith("(?<=")
+
+
+def test_concepts_of_documents_are_found_where_words_are_counted(spark):
+    """Every phrase as written, spread over lines, and inside other words, against the column function."""
+    phrases = [p for of in fixed.CONCEPTS.values() for p in of]
+    texts = [v for p in phrases for v in (p, p.replace(" ", " \t\n\r "), f"x{p.upper()}y", p[:-1], p.replace(" ", " "))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = lexical.weighted_postings(rows, "id", "t")
+    # the lexicon is no longer searched phrase by phrase in a column expression
+    assert "concept:" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.term): r.weight for r in found.where("startswith(term, 'concept:')").collect()}
+    want = lexical._wide_terms(lexical._normalized(rows, "t"), lexical.DOCUMENT_WEIGHTS).select("id", F.inline("terms"))
+    assert got == {(r.id, r.term): r.weight for r in want.where("startswith(term, 'concept:')").collect()} and got
+
+
+def test_words_end_at_signs_outside_ascii(spark):
+    import re
+
+    texts = ["caféau lait", "a b cc K1x İnci", "x\U0001f600yy zz9ß99", "中文abc中d ee?ff"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    normal = {r.id: r.n for r in rows.select("id", tx.normalize_text(F.col("t")).alias("n")).collect()}
+    got = {(r.id, r.term) for r in lexical.weighted_postings(rows, "id", "t").collect() if r.term.isascii()}
+    assert got == {(i, w) for i, n in normal.items() for w in re.findall("[a-z0-9]{2,}", n) if w not in fixed.STOP_WORDS}

@@ -189,3 +189,19 @@ def test_best_of_a_block_takes_no_frame_per_query(monkeypatch):
         hits = sorted((-s, r.file_name, r.source_location, r.chunk_id) for s, r in zip(line, block.itertuples()) if s >= rules.dense_threshold)
         want += [(q, c, f, loc, -s) for s, f, loc, c in hits[:rules.branch_limit]]
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_hashed_vectors_are_those_of_the_rule():
+    import hashlib
+    import re
+
+    import numpy as np
+    from folioscope.operators.dense import hashed_vectors
+
+    texts = ["", "a b", "Red red RED blue-9", "caféau K1x İnci", "x\U0001f600yy zz9ß99 aa aa"]
+    want = np.zeros((len(texts), 64), dtype=np.float32)
+    for row, text in enumerate(texts):
+        for word in re.findall("[a-z0-9]{2,}", text.lower()):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want[row, int(digest[:8], 16) % 64] += 1 if digest[8] < "8" else -1
+    assert (hashed_vectors(texts) == want).all()

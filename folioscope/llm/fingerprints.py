@@ -64,7 +64,7 @@ def sampled(rows: DataFrame) -> DataFrame:
 def fingerprints(frame: DataFrame, keys: list[str], texts: tuple[str, str], size: int = SIZE,
                  samples: int = SAMPLES) -> DataFrame:
     """keys and, for each of two text columns, an array of ``samples`` samples under its name, 16 bits each. A
-    frame that is partitioned by its keys isn't shuffled. Rows whose texts have no words are left out."""
+    frame that is partitioned by some of its keys isn't shuffled. Samples of a text without words are all -1."""
     def terms(i: int) -> Column:
         w, n = F.col(f"_words{i}"), F.size(f"_words{i}")
         return F.when(n > 0, F.arrays_zip(
@@ -76,8 +76,9 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: tuple[str, str], size
     # words become numbers before they are lined up, so the many rows that follow hold no strings
     taken = frame.select(*keys, *(F.transform(words(F.col(t)), lambda w: F.xxhash64(w)).alias(f"_words{i}")
                                   for i, t in enumerate(texts)))
-    rows = taken.select(*keys, F.inline(F.concat(*(terms(i) for i in range(2)))).alias("which", "at", *names))
-    rows = rows.where(F.col(names[-1]).isNotNull() | (F.col("at") == 0))
+    # keys without any words stay as one row of nulls, which offers nothing
+    rows = taken.select(*keys, F.inline_outer(F.concat(*(terms(i) for i in range(2)))).alias("which", "at", *names))
+    rows = rows.where(F.col(names[-1]).isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
     counted = rows.select(*keys, "which", F.xxhash64(*names).alias("term")).groupBy(*keys, "term").agg(
         *(F.sum((F.col("which") == i).cast("int")).alias(f"n{i}") for i in range(2)))
 
@@ -89,7 +90,7 @@ def fingerprints(frame: DataFrame, keys: list[str], texts: tuple[str, str], size
                 f" sequence({low}, {low + samples - 1}) ELSE cast(array() AS array<int>) END")
 
     offered = counted.select(*keys, "term", "n0", "n1", F.expr(
-        f"explode(CASE WHEN n0 = n1 THEN {offers(2, 'n0')} WHEN n1 = 0 THEN {offers(0, 'n0')}"
+        f"explode_outer(CASE WHEN n0 = n1 THEN {offers(2, 'n0')} WHEN n1 = 0 THEN {offers(0, 'n0')}"
         f" WHEN n0 = 0 THEN {offers(1, 'n1')} ELSE concat({offers(0, 'n0')}, {offers(1, 'n1')}) END) AS offer"))
     weighted = offered.select(*keys, "term", F.expr(f"offer div {samples + 1} AS of"), F.expr(
         f"CASE WHEN offer % {samples + 1} = {samples} THEN -1 ELSE offer % {samples + 1} END AS number"), "n0", "n1").select(
@@ -170,10 +171,16 @@ def edited_likeness(documents: DataFrame, size: int = SIZE, samples: int = SAMPL
                                            F.substring("text", F.lit(1), F.col("quarter")).alias("head"))
     both = texts.join(order.select(*keys, "n_chars"), keys).join(heads, keys).select(*keys, "text", F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), "head").alias("edited"))
-    found = fingerprints(both, keys, ("text", "edited"), size, samples)
+    # the checksum goes with the keys, so that texts are sorted, joined and edited once for it and the samples; as
+    # numbers, as the keys of many terms hold it
+    checksum = [f"sha{i}" for i in range(4)]
+    summed = both.withColumn("sha", F.sha2("edited", 256)).select(*keys, "text", "edited", *(F.conv(
+        F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(name) for i, name in enumerate(checksum)))
+    found = fingerprints(summed, [*keys, *checksum], ("text", "edited"), size, samples)
     folder = fresh_folder(spark, "fingerprints")
-    both.select(*keys, F.sha2("edited", 256).alias("edited_sha256")).join(found, keys, "left").select(
-        *keys, "edited_sha256", packed(F.col("text")).alias("own"), packed(F.col("edited")).alias("edited"),
+    found.select(
+        *keys, F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in checksum)).alias("edited_sha256"),
+        packed(F.col("text")).alias("own"), packed(F.col("edited")).alias("edited"),
     ).join(order, keys).write.parquet(folder)
     stored = spark.read.parquet(folder)
     after = stored.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("own").alias("after"))

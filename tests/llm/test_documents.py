@@ -76,6 +76,16 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.edited_likeness(helpers.frame(spark, [])).count() == 0
 
 
+def test_fingerprints_keep_what_goes_with_the_keys(spark):
+    """Also for texts without words, and without another shuffle, so that nothing is joined to them again."""
+    rows = [(1, 11, "", " .,"), (2, -5, "", "one"), (3, 12, "one two", ""), (3, 13, "one two", "one two")]
+    frame = spark.createDataFrame(rows, "id long, sum long, text string, edited string").repartition(4, "id")
+    found = fingerprints.fingerprints(frame, ["id", "sum"], ("text", "edited"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["id"], r["sum"]): (set(r["text"]) == {-1}, set(r["edited"]) == {-1}) for r in found.collect()}
+    assert got == {(1, 11): (True, True), (2, -5): (True, False), (3, 12): (False, True), (3, 13): (False, False)}
+
+
 def near(estimate, want, samples=fingerprints.SAMPLES):
     """Within four standard deviations and two samples, the step of an estimate."""
     return abs(estimate - want) <= 4 * (want * (1 - want) / samples) ** 0.5 + 2 / samples

@@ -94,3 +94,60 @@ def test_packed_columns_come_back():
     part, body = impacts._packed(7, pa.array(["a", "ñ퟿", ""]), *columns)
     names, *got = impacts._unpacked(body)
     assert part == 7 and names == ["a", "ñ퟿", ""] and all((a == b).all() and len(a) == len(b) for a, b in zip(columns, got))
+
+
+def chunks_of(spark, texts):
+    return spark.createDataFrame(
+        [(f"c{n}", f"/r/f{n // 4}.md", "/r", f"f{n // 4}.md", "md", n * 10, n * 10 + 9, f"L{n}", t, 0) for n, t in enumerate(texts)],
+        "chunk_id string, path string, root string, file_name string, extension string,"
+        " start_line int, end_line int, source_location string, content string, modified_at long")
+
+
+def test_texts_are_not_carried_along_for_every_query(spark, monkeypatch):
+    """Neither the pool nor what is stored on the way holds a text, and a text is shuffled once for all its queries."""
+    from folioscope.operators import dense
+    from folioscope.plans import search as plan
+    from folioscope.plans.index import index_chunks, materialize
+
+    chunks = chunks_of(spark, ["alpha beta", "alpha gamma(", "def delta beta", "beta"] * 3)
+    index = materialize(index_chunks(dense.with_vectors(chunks, F.col("content"))), fresh_folder(spark, "texts-test"))
+    kept, cut = [], plan.cut_lineage
+    monkeypatch.setattr(plan, "cut_lineage", lambda f: kept.append(f.columns) or cut(f))
+    asked = spark.createDataFrame([(q, "alpha beta") for q in range(5)], "query_id int, text string")
+    hits = plan.search(index, asked, "RRF_RERANK")
+    named = plan.with_chunks(hits, index)
+    assert not any("content" in c or "embedding" in c for c in kept) and len(kept) >= 4
+    plan_text = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan_text
+    found = {r["chunk_id"]: r["content"] for r in named.collect()}
+    assert found == {r["chunk_id"]: r["content"] for r in chunks.collect() if r["chunk_id"] in found} and found
+
+
+def test_ids_that_stand_for_several_chunks(spark):
+    """Each candidate of such an id is described by one of its texts, none by both."""
+    from folioscope.operators import fusion, lexical, queries
+
+    chunks = chunks_of(spark, ["def alpha one", "beta two"]).withColumn("chunk_id", F.lit("same")).withColumn(
+        "file_name", F.concat("source_location", F.lit(".md")))
+    asked = queries.analyze(spark.createDataFrame([(1, "where is alpha defined"), (2, "beta")], "query_id int, text string"))
+    terms = queries.query_terms(asked)
+    postings = lexical.chunk_postings(chunks)
+    stats = lexical.corpus_stats(chunks, postings)
+    pairs = asked.select("query_id").crossJoin(chunks.select("chunk_id", "file_name", "path", "extension"))
+    got = fusion.lexical_features(pairs, asked, terms, postings, lexical.document_frequency(postings), stats, chunks).collect()
+    assert len(got) == 4 and sum(r["declaration_match"] for r in got if r["query_id"] == 1) == 1
+    assert sum(r["exact"] for r in got if r["query_id"] == 2) == 1
+
+
+def test_neighbours_move_no_text_that_nobody_reads(spark):
+    from folioscope.operators import context
+
+    chunks = chunks_of(spark, ["one", "two", "three", "four"])
+    source = fresh_folder(spark, "chunks")
+    chunks.write.parquet(source)
+    picked = spark.createDataFrame([(1, 1, "c1", 0.9, "r")], "query_id int, pick int, chunk_id string, score double, reason string")
+    grown = context.expand_neighbours(picked, spark.read.parquet(source))
+    assert [r["content"] for r in grown.collect()] == ["one\n\ntwo\n\nthree"]
+    where = grown.select("query_id", "rank", "chunk_id", "start_line", "end_line")
+    assert "lag(content" in grown._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(content" not in where._jdf.queryExecution().optimizedPlan().toString()

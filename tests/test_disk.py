@@ -151,3 +151,59 @@ def test_neighbours_move_no_text_that_nobody_reads(spark):
     where = grown.select("query_id", "rank", "chunk_id", "start_line", "end_line")
     assert "lag(content" in grown._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(content" not in where._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turns_do_all_rows_and_leave_only_their_results(spark):
+    """What a turn stores on the way is deleted with it; rows without a key are done, too."""
+    import os
+    from urllib.parse import urlparse
+
+    from folioscope.session import in_turns
+
+    rows = spark.createDataFrame([(f"k{n % 40}" if n % 9 else None, n) for n in range(300)], "key string, n int")
+    folders, sizes = [], []
+
+    def step(part):
+        kept = stored(part, "on-the-way")
+        folders.append(os.path.dirname(urlparse(kept.inputFiles()[0]).path))
+        sizes.append(cut_lineage(kept.select("key").distinct()).count())
+        return kept.withColumn("twice", F.col("n") * 2)
+
+    done = in_turns(rows, "key", 60, step, "turns-test")
+    assert len(sizes) == 5 and sum(sizes) == 41
+    assert sorted(map(str, done.collect())) == sorted(map(str, rows.withColumn("twice", F.col("n") * 2).collect()))
+    assert len(set(folders)) == 5 and not any(map(os.path.exists, folders))
+    with pytest.raises(ZeroDivisionError):
+        in_turns(rows, "key", 600, lambda part: 1 / 0, "turns-test")
+    assert "turn" not in os.path.basename(os.path.dirname(fresh_folder(spark, "after")))
+
+
+def test_evidence_is_the_same_in_one_turn_and_in_many(spark):
+    from folioscope.config import EvidenceRules
+    from folioscope.operators import dense
+    from folioscope.plans.ask import collect_evidence
+    from folioscope.plans.index import index_chunks, materialize
+
+    words = "alpha beta gamma delta cache retry pool".split()
+    chunks = chunks_of(spark, [" ".join(words[(n * k) % 7] for k in range(1, 6)) for n in range(16)])
+    index = materialize(index_chunks(dense.with_vectors(chunks, F.col("content"))), fresh_folder(spark, "evidence-test"))
+    turns = spark.createDataFrame([(c, 0, "user", f"{words[c]} and {words[-c]} in one place?") for c in range(5)],
+                                  "conv_id long, turn long, role string, text string")
+    replies = spark.createDataFrame([(f"{c}/0", 2, f'{{"action":"search","queries":["{words[c + 1]}"]}}', "stop") for c in range(4)],
+                                    "question_id string, round int, raw string, finish_reason string")
+    got = [sorted(map(tuple, collect_evidence(index, turns, replies, rules=EvidenceRules(turn_queries=n)).collect())) for n in (100, 2)]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == 5
+
+
+def test_frequencies_of_hot_terms_take_no_second_join(spark):
+    from folioscope.operators import lexical
+
+    rows = [(f"c{n}", t, 1.0, 2.0) for n in range(200) for t in ("hot", f"rare{n % 150}")] + [("c0", "unknown", 1.0, 2.0)]
+    postings = spark.createDataFrame(rows, "chunk_id string, term string, weight double, doc_length double")
+    frequency = lexical.document_frequency(postings).where("term <> 'unknown'")
+    stats = spark.createDataFrame([(200, 2.0)], "documents long, average_length double")
+    found = lexical.with_document_frequency(postings, frequency, stats)
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["chunk_id"], r["term"], r["df"]) for r in found.collect())
+    df = {r["term"]: r["df"] for r in frequency.collect()}
+    assert got == sorted((c, t, df.get(t, 0)) for c, t, *_ in rows) and df["hot"] == 200

@@ -137,6 +137,8 @@ def test_ids_that_stand_for_several_chunks(spark):
     got = fusion.lexical_features(pairs, asked, terms, postings, lexical.document_frequency(postings), stats, chunks).collect()
     assert len(got) == 4 and sum(r["declaration_match"] for r in got if r["query_id"] == 1) == 1
     assert sum(r["exact"] for r in got if r["query_id"] == 2) == 1
+    twice = fusion.lexical_features(pairs.unionByName(pairs), asked, terms, postings, lexical.document_frequency(postings), stats, chunks)
+    assert twice.count() == 8
 
 
 def test_neighbours_move_no_text_that_nobody_reads(spark):
